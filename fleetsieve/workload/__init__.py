@@ -1,7 +1,7 @@
 """The operators applied to the driver tables."""
 import importlib
 
-MODULES = ["scores"]
+MODULES = ["candidates", "scores"]
 
 
 def load():
