@@ -50,11 +50,8 @@ def key_value(line: Column):
 
 def char_fingerprint(text: Column, bits: int, n: int = 3) -> Column:
     """Sorted set of the bit positions hit by the text's character n-grams."""
-    last = F.length(text) - (n - 1)
-    grams = F.when(
-        last >= 1,
-        F.array_distinct(F.transform(F.sequence(F.lit(1), last),
-                                     lambda i: F.substr(text, i, F.lit(n)))))
+    # one left-to-right scan: substring by position would walk the text again for every gram
+    grams = F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)))
     position = lambda g: F.conv(F.substring(F.md5(g.cast("binary")), 1, 8), 16, 10).cast("bigint") % bits
     return F.array_sort(F.array_distinct(F.transform(
         F.coalesce(grams, F.array().cast("array<string>")), position)))

@@ -1,7 +1,7 @@
 """The operators applied to the driver tables."""
 import importlib
 
-MODULES = ["candidates", "scores"]
+MODULES = ["candidates", "targets", "scores"]
 
 
 def load():
