@@ -1,7 +1,7 @@
 """The operators applied to the driver tables."""
 import importlib
 
-MODULES = ["candidates", "targets", "scores"]
+MODULES = ["candidates", "targets", "scores", "reports"]
 
 
 def load():
