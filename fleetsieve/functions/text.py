@@ -59,6 +59,8 @@ def char_fingerprint(text: Column, bits: int, n: int = 3) -> Column:
 
 def bit_vector(hits: Column, bits: int) -> Column:
     """Dense 0/1 array of width ``bits`` from sorted hit positions."""
-    marks = F.map_from_arrays(hits.cast("array<int>"), F.transform(hits, lambda _: F.lit(1.0)))
-    return F.transform(F.sequence(F.lit(0), F.lit(bits - 1)),
-                       lambda i: F.coalesce(F.try_element_at(marks, i.cast("int")), F.lit(0.0)))
+    zeros = lambda n: F.array_repeat(F.lit(0.0), n.cast("int"))
+    runs = F.transform(hits, lambda h, i: F.concat(
+        zeros(h - F.coalesce(F.get(hits, i - 1), F.lit(-1)) - 1), F.array(F.lit(1.0))))
+    last = F.coalesce(F.try_element_at(hits, F.lit(-1)), F.lit(-1))
+    return F.concat(F.flatten(runs), zeros(F.lit(bits - 1) - last))

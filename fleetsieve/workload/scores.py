@@ -282,7 +282,7 @@ def s6(spark, sf):
 
 def score_table(f, outliers=None):
     """S1..S6 of a fleet, kept as a written table: weighting reads it many times."""
-    profile = P.column_profile(f)
+    profile = cut(P.column_profile(f))
     return cut(S.soft_scores(S1=s1_of(f), S2=S.s2_sample_duplication(f), S3=s3_of(f, profile, outliers), S4=s4_of(f, profile),
                          S5=S.s5_class_balance(f), S6=S.s6_batch_effect(f)))
 
