@@ -50,7 +50,7 @@ def max_cosine(units: DataFrame, pool: str = "source", block: int = BLOCK) -> Da
         left = pdf[pdf["mine"] == pdf["b1"]]
         right = pdf[pdf["mine"] == pdf["b2"]]
         if left.empty or right.empty:
-            return pd.DataFrame({"dataset_id": [], "best": []})
+            return pd.DataFrame(columns=["dataset_id", "best"], dtype=object)
         cos = np.stack(left["unit"].to_list()) @ np.stack(right["unit"].to_list()).T
         if left["mine"].iloc[0] == right["mine"].iloc[0]:
             np.fill_diagonal(cos, -np.inf)
