@@ -125,23 +125,20 @@ def s3_data_quality(datasets: DataFrame, parts: DataFrame, outliers: DataFrame |
 
 
 # ------------------------------------------------------------ S4 target leakage
-def _value_counts(fleet: Fleet, profile: DataFrame, y: str, datasets: DataFrame, k: int) -> DataFrame:
-    """(dataset, column, value, target) -> rows, means in place of missing values.
-
-    Cells are counted per distinct value before any exchange; only the counts meet the
-    profile, which brings the mean and keeps the k most variable non-constant columns."""
+def _with_means(counts: DataFrame, profile: DataFrame, k: int) -> DataFrame:
+    """Counts per distinct value as ``v``, means in place of missing values, for the k most
+    variable non-constant columns. Only reduced counts meet the profile, never cells."""
     kept = P.top_variance(profile, k).where(~F.col("constant")).select("dataset_id", "feat_id", "mean")
-    cells = fleet.numeric_cells(y).where(F.col(y).isNotNull())
-    counts = (cells.join(datasets, "dataset_id", "left_semi")
-              .groupBy("dataset_id", "feat_id", "num", y).agg(F.count("*").alias("w")))
     return (counts.join(kept, ["dataset_id", "feat_id"])
-            .select("dataset_id", "feat_id", F.coalesce("num", "mean").alias("v"), y, "w"))
+            .withColumn("v", F.coalesce("num", "mean")).drop("num", "mean"))
 
 
 def auc_per_feature(fleet: Fleet, profile: DataFrame, k: int = V.MAX_HEAVY_FEATURES) -> DataFrame:
     """Per column the most extreme one-vs-rest AUC over classes as 2*min(AUC, 1-AUC)."""
     wanted = fleet.datasets.where(F.col("task_type").contains("classification")).select("dataset_id")
-    counts = _value_counts(fleet, profile, "y_str", wanted, k)
+    cells = fleet.numeric_cells("y_str").where(F.col("y_str").isNotNull()).join(wanted, "dataset_id", "left_semi")
+    counts = cells.groupBy("dataset_id", "feat_id", "num", "y_str").agg(F.count("*").alias("w"))
+    counts = _with_means(counts, profile, k)
     ranked = average_rank(counts, ["dataset_id", "feat_id"], "v", "w", "rank", fleet.split_rows())
     per_class = ranked.groupBy("dataset_id", "feat_id", "y_str").agg(
         F.sum(F.col("w") * F.col("rank")).alias("rank_sum"), F.sum("w").alias("n_pos"))
@@ -160,14 +157,21 @@ def spearman_per_feature(fleet: Fleet, profile: DataFrame, k: int = V.MAX_HEAVY_
     wanted = (fleet.datasets.where(F.col("task_type").contains("regression")
                                    & ~F.col("task_type").contains("classification"))
               .select("dataset_id"))
-    counts = _value_counts(fleet, profile, "y_num", wanted, k)
-    column = ["dataset_id", "feat_id"]
-    ranked = average_rank(counts, column, "v", "w", "rx", fleet.split_rows())
-    ranked = average_rank(ranked, column, "y_num", "w", "ry", fleet.split_rows())
+    split = fleet.split_rows()
+    targets = (fleet.samples.select("dataset_id", "y_num").where(F.col("y_num").isNotNull())
+               .join(wanted, "dataset_id", "left_semi").groupBy("dataset_id", "y_num").agg(F.count("*").alias("w")))
+    ry = average_rank(targets, ["dataset_id"], "y_num", "w", "ry", split)
     w, x, y = F.col("w"), F.col("rx"), F.col("ry")
+    totals = ry.groupBy("dataset_id").agg(F.sum("w").alias("n"), F.sum(w * y).alias("sy"), F.sum(w * y * y).alias("syy"))
+    # the target is ranked once per dataset, so a cell only adds its target rank to the sum of
+    # its value: cells shrink to distinct values in the map tasks
+    cells = (fleet.samples.join(ry.select("dataset_id", "y_num", "ry"), ["dataset_id", "y_num"])
+             .select("dataset_id", "ry", F.posexplode("num").alias("feat_id", "num")))
+    counts = cells.groupBy("dataset_id", "feat_id", "num").agg(F.count("*").alias("w"), F.sum("ry").alias("of_y"))
+    column = ["dataset_id", "feat_id"]
+    ranked = average_rank(_with_means(counts, profile, k), column, "v", "w", "rx", split)
     sums = ranked.groupBy(*column).agg(
-        F.sum("w").alias("n"), F.sum(w * x).alias("sx"), F.sum(w * y).alias("sy"),
-        F.sum(w * x * x).alias("sxx"), F.sum(w * y * y).alias("syy"), F.sum(w * x * y).alias("sxy"))
+        F.sum(w * x).alias("sx"), F.sum(w * x * x).alias("sxx"), F.sum(F.col("of_y") * x).alias("sxy")).join(totals, "dataset_id")
     cov = F.col("sxy") - F.col("sx") * F.col("sy") / F.col("n")
     spread = F.sqrt((F.col("sxx") - F.col("sx") * F.col("sx") / F.col("n"))
                     * (F.col("syy") - F.col("sy") * F.col("sy") / F.col("n")))
