@@ -89,7 +89,9 @@ def _batch_choice(batch: DataFrame, edges: DataFrame, taken: DataFrame, max_tota
     rows = batch.join(near, "pos", "left").select(F.struct(
         "pos", "source", F.coalesce("near", empty).alias("near")).alias("c"))
     line = rows.agg(F.array_sort(F.collect_list("c")).alias("line"))
-    before = taken.agg(F.collect_list("source").alias("sources"))
+    # with a quota there are at most that many taken ones; without any their sources are not needed
+    counted = taken if max_total is not None or max_per_source is not None else taken.limit(0)
+    before = counted.agg(F.collect_list("source").alias("sources"))
     start = F.struct(empty.alias("picked"), F.col("sources").alias("sources"))
 
     def step(acc, c):

@@ -51,7 +51,6 @@ def column_moments(fleet: Fleet) -> DataFrame:
     """Mean, sample deviation, biased skewness, biased excess kurtosis of every numeric
     column with two values and spread."""
     cells = fleet.numeric_cells("row_id").where(F.col("num").isNotNull())
-    # moments are shift-invariant; taking them around the first value keeps them exact enough
     stats = cells.groupBy(*COLUMN).agg(
         F.count("num").alias("n"), F.avg("num").alias("mean"), F.stddev_samp("num").alias("std"),
         F.stddev_pop("num").alias("spread"), F.min("num").alias("lo"), F.max("num").alias("hi"),

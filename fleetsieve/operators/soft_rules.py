@@ -36,7 +36,6 @@ def max_cosine(units: DataFrame, pool: str = "source", block: int = BLOCK) -> Da
     Vectors are dealt into blocks of bounded size; every pair of blocks is one matrix
     product in one task which hands back a single number per vector, so neither a large
     pool nor its pairs ever meet in one place."""
-    key = pool if pool == "source" else F.lit("all")
     units = units.where(F.col("unit").isNotNull()).withColumn("pool", F.lit("all") if pool != "source"
                                                               else F.col("source"))
     sizes = units.groupBy("pool").agg(F.ceil(F.count("*") / F.lit(float(block))).cast("int").alias("blocks"))

@@ -1,7 +1,7 @@
 """Matrices delivered feature by feature, one file per sample, or probe by probe.
 
 In tall form a transpose is only a renaming, so none of these ever builds a wide frame."""
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetsieve.functions.text import to_number
@@ -28,11 +28,11 @@ def feature_major(lines: DataFrame, sep: str = "\t", comment: str | None = None,
     heads = lines.groupBy("file").agg(F.min("line_pos").alias("line_pos"))
     quoted = lambda c: F.regexp_replace(c, '^"|"$', "")
     sep_re = sep if sep != "|" else r"\|"
-    head = (lines.join(F.broadcast(heads), ["file", "line_pos"], "left_semi")
+    head = (lines.join(heads, ["file", "line_pos"], "left_semi")
             .select("file", F.posexplode(F.split("line", sep_re)).alias("i", "name"))
             .where((F.col("i") > 0) & ~F.col("name").isin(*drop))
             .select("file", "i", quoted(F.col("name")).alias("sample")))
-    body = (lines.join(F.broadcast(heads), ["file", "line_pos"], "left_anti")
+    body = (lines.join(heads, ["file", "line_pos"], "left_anti")
             .withColumn("fields", F.split("line", sep_re))
             .select("file", quoted(F.col("fields")[0]).alias("feature"), F.posexplode("fields").alias("i", "text"))
             .where(F.col("i") > 0))
