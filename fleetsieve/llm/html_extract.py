@@ -124,8 +124,8 @@ def main_text(page: str, long=70, many=0.25, few=0.1, linked=0.5) -> str:
     """The text blocks of a page, two line ends between them."""
     found = blocks(page)
     bounded = any(article and not aside for _, _, aside, article in found)
-    labels = []
-    for text, links, aside, article in found:
+    labels, barren = [], set()
+    for i, (text, links, aside, article) in enumerate(found):
         solid = len(text.replace(" ", ""))
         if aside or bounded and not article or links > linked * solid:
             labels.append(False)
@@ -136,8 +136,11 @@ def main_text(page: str, long=70, many=0.25, few=0.1, linked=0.5) -> str:
             labels.append(True)
         elif len(text) >= 3 * long and density < few and not article:
             labels.append(False)
+            barren.add(i)
         else:
             labels.append(None)
+    if True not in labels:  # no stop words anywhere: they can't tell text from the rest
+        labels = [None if i in barren else x for i, x in enumerate(labels)]
     out, before = [], [None] * len(labels)
     last = None
     for i, label in enumerate(labels):  # nearest decided block of the same part of the page, before and after

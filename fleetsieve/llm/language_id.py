@@ -10,6 +10,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from fleetsieve.llm.common import fresh
+
 BUCKETS, SAMPLE, ROUNDS = 1 << 15, 6000, 3
 CHUNK = 1 << 20  # code points of a text that are hashed at a time
 _KEYS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], np.uint32)
@@ -163,9 +165,10 @@ def predict(docs: DataFrame, model, text="text", lang_pred="lang_pred", score="s
             out.append((langs[int(p.argmax())], float(p.max())))
         return pd.DataFrame(out, columns=["lang", "score"])
 
-    found = F.col("__found")
-    return docs.withColumn("__found", classify(F.when(lettered, F.col(text)))).withColumns({
-        lang_pred: F.coalesce(found["lang"], F.lit("und")), score: F.coalesce(F.least(found["score"], F.lit(1.0)), F.lit(0.0))}).drop("__found")
+    name, = fresh(docs, "found")
+    found = F.col(name)
+    return docs.withColumn(name, classify(F.when(lettered, F.col(text)))).withColumns({
+        lang_pred: F.coalesce(found["lang"], F.lit("und")), score: F.least(F.coalesce(found["score"], F.lit(0.0)), F.lit(1.0))}).drop(name)
 
 
 def identify(docs: DataFrame, doc_id="doc_id", text="text", lang="lang", **settings) -> DataFrame:
@@ -178,7 +181,6 @@ def identify(docs: DataFrame, doc_id="doc_id", text="text", lang="lang", **setti
 
 def known_language(docs: DataFrame, doc_id="doc_id", text="text", lang="lang", least=0.5, **settings) -> DataFrame:
     """The rows whose text has a language that was learnt, by a probability of at least `least`."""
-    from fleetsieve.llm.common import fresh
     pred, score = fresh(docs, "lang_pred", "lang_score")
     rows = predict(docs, fit(docs, doc_id, text, lang, **settings), text, pred, score)
     return rows.filter((F.col(pred) != "und") & (F.col(score) >= least)).select(*docs.columns)

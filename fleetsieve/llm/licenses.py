@@ -88,7 +88,7 @@ def _spaces(text: Column) -> Column:
 
 
 def places(text: Column, expression: Column) -> Column:
-    """Array of (start, end) in words, of the matches of an expression in words(text)."""
+    """Array of (start, end) in words, the end not included, of the matches of an expression in words(text)."""
     whole = F.concat(F.lit("(?<= )(?:"), expression, F.lit(")(?= )"))
     found = F.regexp_extract_all(text, whole, F.lit(0))
     between = F.split(text, whole, -1)
@@ -96,7 +96,7 @@ def places(text: Column, expression: Column) -> Column:
     walked = F.aggregate(F.arrays_zip(found.alias("match"), F.slice(between, 1, F.size(found)).alias("gap")), zero, lambda acc, x: F.struct(
         (acc["at"] + _spaces(x["gap"]) + _spaces(x["match"])).cast("int").alias("at"),
         F.concat(acc["out"], F.array(F.struct((acc["at"] + _spaces(x["gap"]) - 1).cast("int").alias("start"),
-                                              (acc["at"] + _spaces(x["gap"]) + _spaces(x["match"]) - 1).cast("int").alias("end")))).alias("out")))
+                                              (acc["at"] + _spaces(x["gap"]) + _spaces(x["match"])).cast("int").alias("end")))).alias("out")))
     return walked["out"]
 
 
