@@ -12,14 +12,13 @@ never exchanged between executors before they are reduced.
 """
 from __future__ import annotations
 
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 DATASET_COLUMNS = ["dataset_id", "source", "pos", "name", "task_type", "domain", "url"]
 SAMPLE_COLUMNS = ["dataset_id", "row_id", "num", "txt", "y_str", "y_num", "batch"]
-SPLIT_ROWS = 1_000_000
 
 
 @dataclass
@@ -27,7 +26,6 @@ class Fleet:
     datasets: DataFrame
     features: DataFrame
     samples: DataFrame
-    largest: int | None = field(default=None)
 
     def cells(self) -> DataFrame:
         """Tall form: one row per (dataset, sample, column), missing cells kept as NULL."""
@@ -53,15 +51,16 @@ class Fleet:
     def targets(self) -> DataFrame:
         return self.samples.select("dataset_id", "row_id", "y_str", "y_num", "batch")
 
-    def rows_in_largest(self) -> int:
-        """Row count of the largest dataset; decides whether hot groups are split."""
-        if self.largest is None:
-            top = self.samples.groupBy("dataset_id").count().agg(F.max("count")).first()
-            self.largest = int(top[0] or 0)
-        return self.largest
-
-    def split_rows(self) -> int | None:
-        return SPLIT_ROWS if self.rows_in_largest() > SPLIT_ROWS else None
+    def by_task(self) -> "Fleet":
+        """Targets as the task reads them: numbers are class names in classification, numeric
+        text is a number in regression."""
+        task = F.col("task_type")
+        kind = self.datasets.select("dataset_id", task.contains("classification").alias("_clf"), task.contains("regression").alias("_reg"))
+        label = F.coalesce("y_str", F.when(F.col("_clf"), F.col("y_num").cast("string")))
+        number = F.coalesce("y_num", F.when(F.col("_reg") & ~F.col("_clf"), F.expr("try_cast(y_str AS DOUBLE)")))
+        samples = (self.samples.join(kind, "dataset_id", "left").withColumn("_label", label).withColumn("y_num", number)
+                   .withColumn("y_str", F.col("_label")).select(*self.samples.columns))
+        return Fleet(self.datasets, self.features, samples)
 
     def only(self, ids: DataFrame) -> "Fleet":
         """The part of the fleet whose ``dataset_id`` is in ``ids``."""

@@ -3,13 +3,15 @@
 Both work on pre-aggregated distinct values with a weight. A group with more distinct
 values than ``split`` is cut into consecutive value ranges first: each range is totalled
 on its own and shifted by the ranges below it, so no task ever sorts a whole hot group.
-The cut points come from a hash-chosen sample of the values, hence they are the same on
-every recomputation, and any cut points give the same exact answer.
+Groups of any size take this one plan. The cut points are approximate percentiles of a
+hash-chosen sample of the values, a sketch of bounded size; any cut points give the same
+exact answer.
 """
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 CUT_POINTS = 255
+SPLIT = 100_000
 SAMPLE_STRIDE = 256
 
 
@@ -18,7 +20,7 @@ def _with_ranges(df: DataFrame, group, value: str, split: int) -> DataFrame:
     shares = [i / (CUT_POINTS + 1) for i in range(1, CUT_POINTS + 1)]
     cuts = (df.groupBy(*group)
             .agg(F.count("*").alias("_m"),
-                 F.percentile(F.when(sampled, F.col(value)), F.array(*map(F.lit, shares)))
+                 F.percentile_approx(F.when(sampled, F.col(value)), F.array(*map(F.lit, shares)), F.lit(2000))
                  .alias("_cuts"))
             .where(F.col("_m") > split).drop("_m"))
     below = F.size(F.filter("_cuts", lambda c: c < F.col(value)))
@@ -28,14 +30,10 @@ def _with_ranges(df: DataFrame, group, value: str, split: int) -> DataFrame:
 
 
 def running_total(df: DataFrame, group, value: str, weight: str, out: str,
-                  split: int | None = None, descending: bool = False) -> DataFrame:
+                  split: int = SPLIT, descending: bool = False) -> DataFrame:
     """``out`` = weight of all values up to and including this one; ties move together."""
     group = list(group)
     order = F.col(value).desc() if descending else F.col(value).asc()
-    if split is None:
-        up_to = (Window.partitionBy(*group).orderBy(order)
-                 .rangeBetween(Window.unboundedPreceding, 0))
-        return df.withColumn(out, F.sum(weight).over(up_to))
     ranged = _with_ranges(df, group, value, split)
     totals = ranged.groupBy(*group, "_range").agg(F.sum(weight).alias("_w"))
     place = F.col("_range").desc() if descending else F.col("_range").asc()
@@ -51,7 +49,7 @@ def running_total(df: DataFrame, group, value: str, weight: str, out: str,
 
 
 def average_rank(df: DataFrame, group, value: str, weight: str, out: str,
-                 split: int | None = None) -> DataFrame:
+                 split: int = SPLIT) -> DataFrame:
     """Average rank of each value when every row counts ``weight`` times."""
     group = list(group)
     totalled = running_total(df, group, value, weight, "_upto", split)

@@ -10,19 +10,20 @@ def draw_key(seed: str, *ids) -> Column:
 
 
 def sample_n(df: DataFrame, group, n, seed: str, row_id: str = "row_id",
-             salts: int = 1) -> DataFrame:
+             salts: int = 16) -> DataFrame:
     """The first ``n`` rows per group in md5 order; ``n`` is a number or a column name.
 
-    With ``salts`` > 1 each group is first cut down in that many independent parts, so a
-    group holding most of the rows never meets in one task before it is small.
+    Each group is first cut down in ``salts`` independent parts, so a group holding most of
+    the rows never meets in one task before it is small. ``None`` for ``n`` keeps all rows.
     """
+    if n is None:
+        return df
     limit = F.col(n) if isinstance(n, str) else F.lit(n)
     keyed = df.withColumn("_draw", draw_key(seed, row_id))
-    if salts > 1:
-        keyed = keyed.withColumn("_salt", F.pmod(F.xxhash64(row_id), F.lit(salts)))
-        part = Window.partitionBy(*group, "_salt").orderBy("_draw", row_id)
-        keyed = (keyed.withColumn("_rn", F.row_number().over(part))
-                 .where(F.col("_rn") <= limit).drop("_rn", "_salt"))
+    part = Window.partitionBy(*group, "_salt").orderBy("_draw", row_id)
+    keyed = (keyed.withColumn("_salt", F.pmod(F.xxhash64(row_id), F.lit(salts)))
+             .withColumn("_rn", F.row_number().over(part))
+             .where(F.col("_rn") <= limit).drop("_rn", "_salt"))
     whole = Window.partitionBy(*group).orderBy("_draw", row_id)
     return (keyed.withColumn("_rn", F.row_number().over(whole))
             .where(F.col("_rn") <= limit).drop("_rn", "_draw"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from fleetsieve import values as V
 from fleetsieve.fleet import Fleet
-from fleetsieve.functions.ranking import running_total
+from fleetsieve.functions.ranking import SPLIT, running_total
 from fleetsieve.functions.stats import ratio
 from fleetsieve.session import cut
 
@@ -58,7 +58,7 @@ def row_overlap(fleet: Fleet, threshold: float = 0.0, block: int = PROBE_BLOCK)
 
 
 # ------------------------------------------------------------- ordered selection
-def interleave(candidates: DataFrame, split: int | None = None) -> DataFrame:
+def interleave(candidates: DataFrame, split: int = SPLIT) -> DataFrame:
     """Round-robin over sources in first-seen order; ``turn`` is the new order.
 
     A turn is counted, not sorted: rank inside the source plus, for earlier rounds, how

@@ -8,7 +8,7 @@ score, so rows are reduced in the map tasks before the first exchange."""
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetsieve.functions.ranking import running_total
+from fleetsieve.functions.ranking import SPLIT, running_total
 from fleetsieve.functions.stats import normal_quantile, ratio
 
 # Fixed value: smallest denominator of the relative error.
@@ -73,7 +73,7 @@ def threshold_counts(scores: DataFrame) -> DataFrame:
             .drop("top"))
 
 
-def roc_auc(scores: DataFrame, split: int | None = None) -> DataFrame:
+def roc_auc(scores: DataFrame, split: int = SPLIT) -> DataFrame:
     """Rank-sum AUC, macro over classes; NULL where a class has no positives or negatives."""
     counts = threshold_counts(scores)
     cum = running_total(counts, ["dataset_id", "cls"], "score", "neg", "below", split)
@@ -84,7 +84,7 @@ def roc_auc(scores: DataFrame, split: int | None = None) -> DataFrame:
         F.when((F.count("auc") == F.count("*")) & (F.max("k") >= 2), F.avg("auc")).alias("roc_auc"))
 
 
-def average_precision(scores: DataFrame, split: int | None = None) -> DataFrame:
+def average_precision(scores: DataFrame, split: int = SPLIT) -> DataFrame:
     """Sum of recall steps times precision over distinct thresholds, macro over classes."""
     each = (pr_points(scores, split).groupBy("dataset_id", "cls")
             .agg(F.sum(F.col("pos") * F.col("precision")).alias("s"), F.sum("pos").alias("p")))
@@ -99,7 +99,7 @@ def _cumulated(scores: DataFrame, split):
     return running_total(cum, keys, "score", "n", "seen", split, descending=True)
 
 
-def pr_points(scores: DataFrame, split: int | None = None) -> DataFrame:
+def pr_points(scores: DataFrame, split: int = SPLIT) -> DataFrame:
     """dataset_id, cls, score, pos, precision, recall at every distinct threshold."""
     totals = threshold_counts(scores).groupBy("dataset_id", "cls").agg(F.sum("pos").alias("all_pos"))
     return _cumulated(scores, split).join(totals, ["dataset_id", "cls"]).select(
@@ -107,7 +107,7 @@ def pr_points(scores: DataFrame, split: int | None = None) -> DataFrame:
         F.coalesce(ratio(F.col("tp"), F.col("all_pos")), F.lit(1.0)).alias("recall"))
 
 
-def roc_points(scores: DataFrame, split: int | None = None, drop_intermediate: bool = True) -> DataFrame:
+def roc_points(scores: DataFrame, split: int = SPLIT, drop_intermediate: bool = True) -> DataFrame:
     """dataset_id, cls, score, fpr, tpr; points on a straight line between their neighbours
     are left out, and the origin is the point with no score."""
     totals = threshold_counts(scores).groupBy("dataset_id", "cls").agg(
@@ -164,7 +164,7 @@ def residuals(preds: DataFrame) -> DataFrame:
     return preds.select("dataset_id", "row_id", (F.col("yhat") - F.col("y")).alias("residual"))
 
 
-def qq_points(res: DataFrame, split: int | None = None) -> DataFrame:
+def qq_points(res: DataFrame, split: int = SPLIT) -> DataFrame:
     """dataset_id, place, theoretical, residual, slope, intercept: ordered residuals against
     normal quantiles at the order-statistic medians, with the least-squares line."""
     sizes = res.groupBy("dataset_id").agg(F.count("*").alias("n"))

@@ -82,8 +82,11 @@ def fingerprint_rows(prints: DataFrame) -> DataFrame:
     return prints.select("source", "dataset_id", F.posexplode("vec").alias("dim", "v"))
 
 
-def top_variance(profile: DataFrame, k: int = V.MAX_HEAVY_FEATURES) -> DataFrame:
-    """The k most variable numeric columns per dataset; ties go to the lower column."""
+def top_variance(profile: DataFrame, k: int | None = V.MAX_HEAVY_FEATURES) -> DataFrame:
+    """The k most variable numeric columns per dataset; ties go to the lower column.
+    ``None`` keeps all."""
+    if k is None:
+        return profile.where("is_num")
     order = Window.partitionBy("dataset_id").orderBy(F.col("var").desc_nulls_last(), "feat_id")
     return (profile.where("is_num").withColumn("var_rank", F.row_number().over(order))
             .where(F.col("var_rank") <= k))

@@ -63,6 +63,7 @@ def funnel_nodes(flows: DataFrame) -> DataFrame:
 
 def soft_stats(fleet: Fleet, scores: DataFrame) -> DataFrame:
     """Shape, number of classes (classification only) and S1..S6 of every dataset."""
+    fleet = fleet.by_task()
     shape = fleet.samples.groupBy("dataset_id").agg(
         F.count("*").alias("n_rows"), F.max(F.size("num") + F.size("txt")).alias("n_features"))
     classes = (fleet.targets().where(F.col("y_str").isNotNull()).groupBy("dataset_id", "y_str").count()

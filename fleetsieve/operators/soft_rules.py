@@ -132,13 +132,14 @@ def _with_means(counts: DataFrame, profile: DataFrame, k: int) -> DataFrame:
             .withColumn("v", F.coalesce("num", "mean")).drop("num", "mean"))
 
 
-def auc_per_feature(fleet: Fleet, profile: DataFrame, k: int = V.MAX_HEAVY_FEATURES) -> DataFrame:
+def auc_per_feature(fleet: Fleet, profile: DataFrame, k: int | None = None) -> DataFrame:
     """Per column the most extreme one-vs-rest AUC over classes as 2*min(AUC, 1-AUC)."""
     wanted = fleet.datasets.where(F.col("task_type").contains("classification")).select("dataset_id")
+    fleet = fleet.by_task()
     cells = fleet.numeric_cells("y_str").where(F.col("y_str").isNotNull()).join(wanted, "dataset_id", "left_semi")
     counts = cells.groupBy("dataset_id", "feat_id", "num", "y_str").agg(F.count("*").alias("w"))
     counts = _with_means(counts, profile, k)
-    ranked = average_rank(counts, ["dataset_id", "feat_id"], "v", "w", "rank", fleet.split_rows())
+    ranked = average_rank(counts, ["dataset_id", "feat_id"], "v", "w", "rank")
     per_class = ranked.groupBy("dataset_id", "feat_id", "y_str").agg(
         F.sum(F.col("w") * F.col("rank")).alias("rank_sum"), F.sum("w").alias("n_pos"))
     every = Window.partitionBy("dataset_id", "feat_id")
@@ -151,15 +152,15 @@ def auc_per_feature(fleet: Fleet, profile: DataFrame, k: int = V.MAX_HEAVY_FEATU
                             F.lit(1.0)).alias("stat")))
 
 
-def spearman_per_feature(fleet: Fleet, profile: DataFrame, k: int = V.MAX_HEAVY_FEATURES) -> DataFrame:
+def spearman_per_feature(fleet: Fleet, profile: DataFrame, k: int | None = None) -> DataFrame:
     """Per column 1 - |rank correlation with a numeric target|, 1 when undefined."""
     wanted = (fleet.datasets.where(F.col("task_type").contains("regression")
                                    & ~F.col("task_type").contains("classification"))
               .select("dataset_id"))
-    split = fleet.split_rows()
+    fleet = fleet.by_task()
     targets = (fleet.samples.select("dataset_id", "y_num").where(F.col("y_num").isNotNull())
                .join(wanted, "dataset_id", "left_semi").groupBy("dataset_id", "y_num").agg(F.count("*").alias("w")))
-    ry = average_rank(targets, ["dataset_id"], "y_num", "w", "ry", split)
+    ry = average_rank(targets, ["dataset_id"], "y_num", "w", "ry")
     w, x, y = F.col("w"), F.col("rx"), F.col("ry")
     totals = ry.groupBy("dataset_id").agg(F.sum("w").alias("n"), F.sum(w * y).alias("sy"), F.sum(w * y * y).alias("syy"))
     # the target is ranked once per dataset, so a cell only adds its target rank to the sum of
@@ -168,7 +169,7 @@ def spearman_per_feature(fleet: Fleet, profile: DataFrame, k: int = V.MAX_HEAVY_
              .select("dataset_id", "ry", F.posexplode("num").alias("feat_id", "num")))
     counts = cells.groupBy("dataset_id", "feat_id", "num").agg(F.count("*").alias("w"), F.sum("ry").alias("of_y"))
     column = ["dataset_id", "feat_id"]
-    ranked = average_rank(_with_means(counts, profile, k), column, "v", "w", "rx", split)
+    ranked = average_rank(_with_means(counts, profile, k), column, "v", "w", "rx")
     sums = ranked.groupBy(*column).agg(
         F.sum(w * x).alias("sx"), F.sum(w * x * x).alias("sxx"), F.sum(F.col("of_y") * x).alias("sxy")).join(totals, "dataset_id")
     cov = F.col("sxy") - F.col("sx") * F.col("sy") / F.col("n")
@@ -178,7 +179,7 @@ def spearman_per_feature(fleet: Fleet, profile: DataFrame, k: int = V.MAX_HEAVY_
     return sums.select(*column, (1.0 - F.abs(rho)).alias("stat"))
 
 
-def feature_stats(fleet: Fleet, profile: DataFrame, k: int = V.MAX_HEAVY_FEATURES) -> DataFrame:
+def feature_stats(fleet: Fleet, profile: DataFrame, k: int | None = None) -> DataFrame:
     return auc_per_feature(fleet, profile, k).unionByName(spearman_per_feature(fleet, profile, k))
 
 
@@ -202,6 +203,7 @@ def top_leaks(stats: DataFrame, features: DataFrame, k: int = 5) -> DataFrame:
 
 # ------------------------------------------------------------- S5 class balance
 def s5_class_balance(fleet: Fleet, bins: int = V.REGRESSION_BINS) -> DataFrame:
+    fleet = fleet.by_task()
     tasks = fleet.datasets.select("dataset_id", F.col("task_type").contains("classification").alias("clf"))
     counts = (P.class_counts(fleet).select("dataset_id", "n", F.lit(True).alias("clf"))
               .unionByName(P.target_histogram(fleet, bins).select("dataset_id", "n", F.lit(False).alias("clf"))))

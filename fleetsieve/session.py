@@ -27,6 +27,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if folder is None:
         folder = context.getCheckpointDir()
     if folder is None:
+        if not context.master.startswith("local[") and context.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="fleetsieve-")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(folder)

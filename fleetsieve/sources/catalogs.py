@@ -100,21 +100,25 @@ def first_accepted_task(tasks: DataFrame) -> DataFrame:
 
 
 def catalog_prefilter(catalog: DataFrame, min_rows=V.MIN_ROWS, min_features=V.MIN_FEATURES,
-                      max_features=V.MAX_FEATURES) -> DataFrame:
+                      max_features: int | None = None, min_bytes=V.KAGGLE_MIN_BYTES, max_bytes: int | None = None,
+                      min_cases=V.TCGA_MIN_CASES, min_series=V.GEO_MIN_SAMPLES, min_measurements=V.CHEMBL_MIN_MEASUREMENTS,
+                      min_runs=V.MGNIFY_MIN_SAMPLES) -> DataFrame:
     """Cheap per-source filters, pushed into the catalog scan. Columns a source does not
-    use are ignored for it. The licence default of one source is filled in."""
+    use are ignored for it. The licence default of one source is filled in. The maxima are for
+    small machines; ``None`` sets none."""
+    below = lambda column, most: F.lit(True) if most is None else F.col(column) <= most
     c = F.col
     size = (c("n_samples") >= min_rows) & (c("n_features") >= min_features)
-    wide = (c("n_features") >= min_features) & (c("n_features") <= max_features)
+    wide = (c("n_features") >= min_features) & below("n_features", max_features)
     keep = {
         "openml": size & (F.lower("format") != "sparse_arff"),
         "uci": c("data_url").isNotNull() & (c("data_url") != "") & size & wide,
-        "kaggle": c("bytes").between(V.KAGGLE_MIN_BYTES, V.KAGGLE_MAX_BYTES) & wide,
-        "geo_array": c("accession").startswith("GSE") & (c("n_samples") >= V.GEO_MIN_SAMPLES)
-                     & (c("n_features").isNull() | (c("n_features") <= max_features)),
-        "tcga": c("n_samples") >= V.TCGA_MIN_CASES,
-        "chembl": c("n_samples") >= V.CHEMBL_MIN_MEASUREMENTS,
-        "mgnify": (c("n_samples") >= V.MGNIFY_MIN_SAMPLES) & c("downloads").contains("IPR_abundances"),
+        "kaggle": (c("bytes") >= min_bytes) & below("bytes", max_bytes) & wide,
+        "geo_array": c("accession").startswith("GSE") & (c("n_samples") >= min_series)
+                     & (c("n_features").isNull() | below("n_features", max_features)),
+        "tcga": c("n_samples") >= min_cases,
+        "chembl": c("n_samples") >= min_measurements,
+        "mgnify": (c("n_samples") >= min_runs) & c("downloads").contains("IPR_abundances"),
     }
     passing = F.lit(True)
     for source, rule in keep.items():

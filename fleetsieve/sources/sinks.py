@@ -40,13 +40,14 @@ def write_weights(pointed: DataFrame, n_datasets: int, path: str, source: str, m
 def load_weights(spark, path: str | None = None) -> DataFrame:
     """rule, w from a frozen record, the expert points where there is none. Only rules in the
     record are used."""
-    from py4j.protocol import Py4JJavaError
     from pyspark.errors import AnalysisException
     if path is None:
         return default_weights(spark)
     try:
         frozen = spark.read.json(path)
-    except (AnalysisException, Py4JJavaError):
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         return default_weights(spark)
     rows = F.array(*[F.struct(F.lit(r).alias("rule"), F.col(r).cast("double").alias("w")) for r in V.RULES if r in frozen.columns])
     return frozen.select(F.explode(rows).alias("p")).select("p.*").where(F.col("w").isNotNull())

@@ -42,10 +42,12 @@ HASHES = "dataset_id string, pos long, h long, batch_id long"
 
 def stream_row_hashes(stream: DataFrame, pool: str, decisions: str, checkpoint: str,
                       threshold: float = V.OVERLAP_THRESHOLD):
-    """Datasets arriving whole, in order: rejected when they overlap an accepted one, else
+    """Datasets arriving whole, in order; rows of a dataset that was decided before are left out: rejected when they overlap an accepted one, else
     their row hashes join the pool. ``stream`` has dataset_id, pos, num."""
     def batch(df: DataFrame, batch_id: int):
         spark = df.sparkSession
+        decided = _earlier(spark, decisions, "dataset_id string, batch_id long", batch_id).select("dataset_id").distinct()
+        df = cut(df.join(decided, "dataset_id", "left_anti"))
         fleet = Fleet(None, None, df)
         hashes = cut(D.sorted_row_hashes(fleet).join(df.select("dataset_id", F.col("pos").cast("bigint").alias("pos")).distinct(), "dataset_id"))
         known = _earlier(spark, pool, HASHES, batch_id).select("dataset_id", "pos", "h")

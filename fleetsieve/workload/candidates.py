@@ -295,7 +295,7 @@ FROM catalog WHERE CASE source WHEN 'openml' THEN n_samples >= 150 AND n_feature
 
 @query("p16_catalog_prefilter", with_ctes(CATALOG, "SELECT dataset_id, source, licence FROM kept"))
 def p16(spark, sf):
-    return C.catalog_prefilter(catalog(spark, sf)).select("dataset_id", "source", "licence")
+    return C.catalog_prefilter(catalog(spark, sf), max_features=V.MAX_FEATURES, max_bytes=V.KAGGLE_MAX_BYTES).select("dataset_id", "source", "licence")
 
 
 @query("p17_keep_field", f"""SELECT doc_id, NOT {any_of('lower(text)', V.SKIPPED_FIELD_WORDS)} AS kept FROM documents""")
