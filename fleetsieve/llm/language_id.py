@@ -179,8 +179,9 @@ def identify(docs: DataFrame, doc_id="doc_id", text="text", lang="lang", **setti
     return predict(slim, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
-def known_language(docs: DataFrame, doc_id="doc_id", text="text", lang="lang", least=0.5, **settings) -> DataFrame:
-    """The rows whose text has a language that was learnt, by a probability of at least `least`."""
+def known_language(docs: DataFrame, doc_id="doc_id", text="text", lang="lang", least=0.3, **settings) -> DataFrame:
+    """The rows whose text has a language that was learnt, by a probability of at least `least`: texts
+    of two languages or with a few words among numbers stay, those no language explains go."""
     pred, score = fresh(docs, "lang_pred", "lang_score")
     rows = predict(docs, fit(docs, doc_id, text, lang, **settings), text, pred, score)
     return rows.filter((F.col(pred) != "und") & (F.col(score) >= least)).select(*docs.columns)
