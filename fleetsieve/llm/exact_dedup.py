@@ -25,11 +25,17 @@ def shared_heads(docs: DataFrame, text="text", prefix=PREFIX) -> DataFrame:
     return marks.join(lengths, "length").filter("n > 1").select("length", "head")
 
 
-def duplicate_groups(docs: DataFrame, doc_id="doc_id", text="text", prefix=PREFIX) -> DataFrame:
-    """Groups of two or more equal texts: text_sha256, keep_id (smallest id that isn't null), group_size."""
+def group_members(docs: DataFrame, doc_id="doc_id", text="text", prefix=PREFIX) -> DataFrame:
+    """doc_id, text_hash (xxhash64 of the text as it is), text_sha256 of the rows in groups that are left."""
     heads = shared_heads(docs, text, prefix)
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), *_marks(F.col(text), prefix))
-    full = rows.join(heads, ["length", "head"], "left_semi").select("doc_id", F.sha2(one_space(F.col("text")), 256).alias("text_sha256"))
+    return rows.join(heads, ["length", "head"], "left_semi").select(
+        "doc_id", F.xxhash64("text").alias("text_hash"), F.sha2(one_space(F.col("text")), 256).alias("text_sha256"))
+
+
+def duplicate_groups(docs: DataFrame, doc_id="doc_id", text="text", prefix=PREFIX) -> DataFrame:
+    """Groups of two or more equal texts: text_sha256, keep_id (smallest id that isn't null), group_size."""
+    full = group_members(docs, doc_id, text, prefix)
     return full.groupBy("text_sha256").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size")).filter("group_size > 1")
 
 
@@ -50,12 +56,25 @@ def exact_dedup(docs: DataFrame, doc_id="doc_id", text="text", prefix=PREFIX) ->
 
 
 def drop_copies(docs: DataFrame, doc_id="doc_id", text="text", prefix=PREFIX) -> DataFrame:
-    """The table without the copies: of equal texts the row with the smallest id stays."""
-    sha, keep, size = fresh(docs, "text_sha256", "keep_id", "group_size")
-    groups = duplicate_groups(docs, doc_id, text, prefix).select(
-        F.col("text_sha256").alias(sha), F.col("keep_id").alias(keep), F.col("group_size").alias(size))
-    rows = docs.withColumn(sha, F.sha2(one_space(F.col(text)), 256)).join(groups, sha, "left")
-    first = rows.filter(F.col(size).isNotNull() & F.col(doc_id).eqNullSafe(F.col(keep)))
-    again = cut(first.groupBy(sha).agg(F.count("*").alias(size)).filter(F.col(size) > 1).select(sha))
-    once = rows.filter(F.col(size).isNull() | F.col(doc_id).eqNullSafe(F.col(keep))).join(again, sha, "left_anti")
-    return once.unionByName(first.join(again, sha, "left_semi").dropDuplicates([sha])).select(*docs.columns)
+    """The table without the copies: of equal texts the row with the smallest id stays (null ids last).
+
+    Who goes is settled on ids and hashes; whole rows are moved once, to be held against the list of
+    those that go. Of rows equal in id and text one stays."""
+    name, own = fresh(docs, "gone_id", "text_hash")
+    members = cut(group_members(docs, doc_id, text, prefix).groupBy("text_sha256", "doc_id", "text_hash").agg(F.count("*").alias("n")))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash")).alias("kept")
+    stays = members.groupBy("text_sha256").agg(first)
+    kept = F.col("doc_id").eqNullSafe(F.col("kept.doc_id")) & (F.col("text_hash") == F.col("kept.text_hash"))
+    judged = cut(members.join(stays, "text_sha256").select(F.col("doc_id").alias(name), F.col("text_hash").alias(own), "n", kept.alias("stays"))
+                 .filter("not stays or n > 1"))
+    rows = docs.withColumn(own, F.xxhash64(text))
+
+    def held(rows, keys, how):
+        keys = keys.select(name, own)
+        return rows.join(keys, (rows[own] == keys[own]) & rows[doc_id].eqNullSafe(keys[name]), how)
+
+    once = held(rows, judged, "left_anti")
+    again = judged.filter("stays")
+    if not again.isEmpty():
+        once = once.unionByName(held(rows, again, "left_semi").dropDuplicates([doc_id, own]))
+    return once.select(*docs.columns)
