@@ -44,19 +44,17 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def one_row_each(docs: DataFrame, chosen: DataFrame, doc_id="doc_id", text="text", times: str | None = None) -> DataFrame:
+def one_row_each(docs: DataFrame, chosen: DataFrame, doc_id="doc_id", text="text", also: str | None = None) -> DataFrame:
     """The rows of a table that are chosen by id and xxhash64 of the text (doc_id, text_hash, distinct),
-    each `times` times. Rows that are equal in both are one document: one of them stands for all."""
-    own, name, n, many = fresh(docs, "text_hash", "chosen_id", "times", "many")
+    with the column `also` of the choice. Rows that are equal in both are one document: one of them stands for all."""
+    own, name, many = fresh(docs, "text_hash", "chosen_id", "many")
     rows = docs.withColumn(own, F.xxhash64(text))
-    chosen = chosen.select(F.col("doc_id").alias(name), F.col("text_hash").alias(own), (F.col(times) if times else F.lit(1)).alias(n))
+    chosen = chosen.select(F.col("doc_id").alias(name), F.col("text_hash").alias(own), *([also] if also else []))
     repeats = cut(docs.select(F.col(doc_id).alias(name), F.xxhash64(text).alias(own)).groupBy(name, own).agg(F.count("*").alias(many)).filter(F.col(many) > 1))
     same = lambda a, b: a[own].eqNullSafe(b[own]) & a[doc_id].eqNullSafe(b[name])
-    found = rows.join(chosen, same(rows, chosen)).select(rows["*"], chosen[n])
+    found = rows.join(chosen, same(rows, chosen)).select(rows["*"], *([chosen[also]] if also else []))
     if not repeats.isEmpty():
         again = repeats.select(own, name)
         once = found.join(again, same(found, again), "left_anti")
         found = once.unionByName(found.join(again, same(found, again), "left_semi").dropDuplicates([doc_id, own]))
-    if times:
-        found = found.withColumn(n, F.explode(F.sequence(F.lit(1).cast("long"), F.col(n).cast("long"))))
-    return found.select(*docs.columns)
+    return found.select(*docs.columns, *([also] if also else []))

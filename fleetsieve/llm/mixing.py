@@ -194,11 +194,10 @@ def mixture(docs: DataFrame, doc_id="doc_id", source="source", text="text", shar
     output shard and shuffled within each. Rows equal in id and text count as one document of that many copies."""
     plan = plan_mix(docs, doc_id, source, text, shards=shards, seed=seed, **settings)
     copies = plan.select("doc_id", "text_hash", F.explode("shards").alias("shard")).groupBy("doc_id", "text_hash", "shard").agg(F.count("*").alias("copies"))
-    shard, own, times, name = fresh(docs, "shard", "text_hash", "copies", "chosen_id")
-    copies = copies.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("shard", "copies")).alias("dealt"))  # one entry a shard at most
-    dealt = copies.select(F.col("doc_id").alias(name), F.col("text_hash").alias(own), F.explode("dealt").alias(times)).select(
-        name, own, F.col(times)["shard"].alias(shard), F.col(times)["copies"].alias(times))
-    rows = one_row_each(docs, copies, doc_id, text).withColumn(own, F.xxhash64(text))
-    rows = rows.join(dealt, rows[own].eqNullSafe(dealt[own]) & rows[doc_id].eqNullSafe(dealt[name])).select(
-        *[rows[c] for c in docs.columns], dealt[own], dealt[shard], F.explode(F.sequence(F.lit(1).cast("long"), dealt[times])).alias(times))
-    return rows.repartitionByRange(shards, shard).sortWithinPartitions(shard, F.xxhash64(F.lit(seed), own, doc_id, times)).select(*docs.columns)
+    dealt, shard, times, order = fresh(docs, "dealt", "shard", "copies", "order")
+    copies = copies.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("shard", "copies")).alias(dealt))  # one entry a shard at most
+    rows = one_row_each(docs, copies, doc_id, text, also=dealt).withColumn(dealt, F.explode(dealt))
+    rows = rows.withColumn(shard, F.col(dealt)["shard"]).withColumn(times, F.explode(F.sequence(F.lit(1).cast("long"), F.col(dealt)["copies"])))
+    rows = rows.withColumn(order, F.xxhash64(F.lit(seed), F.xxhash64(text), doc_id, times))
+    parts = max(shards, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # a shard may be several parts
+    return rows.repartitionByRange(parts, shard, order).sortWithinPartitions(shard, order).select(*docs.columns)
