@@ -1,5 +1,6 @@
 """Whole runs: curation from candidates to composite scores, weight calibration, re-scoring."""
 from dataclasses import dataclass
+from functools import partial
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -8,6 +9,7 @@ from fleetsieve import values as V
 from fleetsieve.fleet import Fleet
 from fleetsieve.operators import data_rules as A
 from fleetsieve.operators import duplicates as D
+from fleetsieve.operators import forests as T
 from fleetsieve.operators import metadata_rules as M
 from fleetsieve.operators import outliers as O
 from fleetsieve.operators import profile as P
@@ -18,6 +20,9 @@ from fleetsieve.operators import weights as W
 from fleetsieve.session import cut
 from fleetsieve.sources import sinks
 
+# The signal test of a run, with its ceiling.
+SIGNAL = partial(G.signal_test, ceilings=T.ceilings)
+
 # Soft rules by name; adding one is adding an entry. Each takes (fleet, profile).
 SOFT_RULES = {
     "S1": lambda f, p: S.s1_uniqueness(P.fingerprint(f.datasets, P.column_moments(f))),
@@ -44,7 +49,7 @@ def score_fleet(fleet: Fleet, rules=SOFT_RULES) -> DataFrame:
 
 
 def curate(candidates: DataFrame, fleet: Fleet, out: str | None = None, weights_path: str | None = None,
-           signal=G.signal_test, min_rows=V.MIN_ROWS, min_features=V.MIN_FEATURES, soft_rules=SOFT_RULES,
+           signal=SIGNAL, min_rows=V.MIN_ROWS, min_features=V.MIN_FEATURES, soft_rules=SOFT_RULES,
            max_total=V.MAX_SAVED, max_per_source=V.MAX_SAVED_PER_SOURCE) -> Run:
     """Metadata rules, turn order, data rules, duplicates and quotas, soft rules, composite.
 

@@ -12,6 +12,7 @@ from fleetsieve.sources import staged
 from fleetsieve.streaming import arrivals
 from fleetsieve.workload.candidates import CAND, candidates
 from fleetsieve.workload.fixture import NAMES, fleet, fleet_sql, read
+from fleetsieve.workload.models import SIGNAL
 from fleetsieve.workload.registry import query
 from fleetsieve.workload.scores import SOFT_SQL, greedy, score_table
 from fleetsieve.workload.sql import r6, with_ctes
@@ -87,5 +88,5 @@ def curation_run(spark, sf):
     c = f.datasets.join(made, "dataset_id").select(
         "dataset_id", "source", F.col("pos").cast("bigint").alias("pos"), "name", "n_samples", "n_features", "task_type",
         F.lit("cc0").alias("licence"), "url", F.array(F.lit("public")).alias("tags"), "domain")
-    run = curation.curate(c, f, scratch(spark, "run"), min_rows=100, min_features=4)
+    run = curation.curate(c, f, scratch(spark, "run"), signal=SIGNAL, min_rows=100, min_features=4)
     return run.scores

@@ -2,6 +2,7 @@
 from pyspark.sql import functions as F
 
 from fleetsieve.functions.ranking import running_total
+from fleetsieve.operators import forests as T
 from fleetsieve.operators import signal as G
 from fleetsieve.operators import soft_rules as S
 from fleetsieve.sources import staged
@@ -45,3 +46,20 @@ def test_a_dataset_is_decided_once(spark, tmp_path):
             spark.createDataFrame([("a", 9, 0, [9.0], [])], schema).write.mode("append").parquet(f"{tmp_path}/in")
         stream_row_hashes(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), f"{tmp_path}/pool", f"{tmp_path}/out", f"{tmp_path}/cp").awaitTermination()
     assert spark.read.parquet(f"{tmp_path}/out").count() == 1
+
+
+def test_a_label_copy_is_trivial_and_noise_needs_no_ceiling(make_fleet):
+    noise = lambda i, k: float((i * 7919 + k * 104729) % 1009)
+    fleet = make_fleet({
+        "copy": ("classification", [([float(i % 2), noise(i, 1)], [], "ab"[i % 2], None, None) for i in range(80)]),
+        "noise": ("classification", [([noise(i, 2), noise(i, 3)], [], "ab"[int(noise(i, 5)) % 2], None, None) for i in range(80)])})
+    asked = []
+
+    def ceilings(rows):
+        asked.extend(r["dataset_id"] for r in rows.select("dataset_id").distinct().collect())
+        return T.ceilings(rows, 5, 3)
+
+    found = {r["dataset_id"]: r for r in G.signal_test(fleet, ceilings, 20).collect()}
+    assert asked == ["copy"]
+    assert not found["copy"]["passed"] and found["copy"]["reason"].startswith("trivial")
+    assert not found["noise"]["passed"]
