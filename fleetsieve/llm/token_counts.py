@@ -29,30 +29,31 @@ def _tokenizer(name):
     import os
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     from tokenizers import Tokenizer
-    return Tokenizer.from_file(tokenizer_file(name)), {}
+    return Tokenizer.from_file(tokenizer_file(name)), {}, []
 
 
 class Encoder:
     """Counts of stretches, by the library, with a memo."""
 
     def __init__(self, name):
-        self.tokenizer, self.memo = _tokenizer(name)
+        self.tokenizer, self.memo, self.passing = _tokenizer(name)
 
     def stretches(self, text: str) -> list[str]:
         first, *rest = BOUNDARY.split(text)
         return [first, *[" " + x for x in rest]]
 
     def learn(self, stretches) -> dict:
-        """Counts of all given stretches."""
+        """Counts of all given stretches, until the next call; long ones leave the memo then."""
         memo = self.memo
+        while self.passing:
+            memo.pop(self.passing.pop(), None)
         new = [x for x in set(stretches) if x not in memo]
         if len(memo) + len(new) > MEMO_ENTRIES:
             memo.clear()
             new = list(set(stretches))
-        found = self._counts(new)
-        long = {x: n for x, n in found.items() if len(x) > MEMO_CHARS}
-        memo.update((x, n) for x, n in found.items() if x not in long)
-        return {**memo, **long} if long else memo
+        memo.update(self._counts(new))
+        self.passing.extend(x for x in new if len(x) > MEMO_CHARS)
+        return memo
 
     def _counts(self, stretches: list[str]) -> dict:
         """By the tokenizer. What begins and ends at a boundary is encoded in one text, and tokens are told
@@ -106,6 +107,14 @@ def count_tokens(text: str, encoder: Encoder, chunk=1 << 16, overlap=1 << 10) ->
             size *= 2
 
 
+def count_all(texts: list[str], encoder: Encoder, chunk=1 << 16, overlap=1 << 10) -> list[int]:
+    """Counts of some texts; the stretches of all short ones are learnt at once."""
+    short = [encoder.stretches(x) if len(x) <= chunk else None for x in texts]
+    known = encoder.learn({y for x in short if x for y in x})
+    found = [None if x is None else sum(map(known.__getitem__, x)) for x in short]  # before the memo changes
+    return [count_tokens(x, encoder, chunk, overlap) if n is None else n for x, n in zip(texts, found)]
+
+
 def token_counts(docs: DataFrame, doc_id="doc_id", text="text", tokenizer="byte_bpe_50k.json", limit=512,
                  chunk=1 << 16, overlap=1 << 10) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit of every row. A null text counts as empty: 0 bytes, 0
@@ -118,10 +127,7 @@ def token_counts(docs: DataFrame, doc_id="doc_id", text="text", tokenizer="byte_
         for batch in batches:
             texts, counts = batch.column(1), []
             for at in range(0, len(texts), 64):
-                some = texts.slice(at, 64).to_pylist()
-                short = [encoder.stretches(x) if len(x) <= chunk else None for x in some]
-                known = encoder.learn({y for x in short if x for y in x})
-                counts += [count_tokens(x, encoder, chunk, overlap) if s is None else sum(map(known.__getitem__, s)) for x, s in zip(some, short)]
+                counts += count_all(texts.slice(at, 64).to_pylist(), encoder, chunk, overlap)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), batch.column(2)], names=["doc_id", "n_tokens", "n_bytes"])
 
     counted = source.select("doc_id", "text", F.octet_length("text").cast("long").alias("n_bytes")).mapInArrow(

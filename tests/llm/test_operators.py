@@ -155,6 +155,14 @@ def test_token_counts_are_the_library_s(text):
     assert token_counts.count_tokens(text, encoder) == token_counts.count_tokens(text, encoder, chunk=8, overlap=2) == n
 
 
+def test_counts_while_the_memo_overflows(monkeypatch):
+    monkeypatch.setattr(token_counts, "MEMO_ENTRIES", 20)
+    encoder = token_counts.Encoder("byte_bpe_50k.json")
+    texts = ["a few words " + "x" * 100, " ".join(map(str, range(500))), "more words at the end", "y" * 90 + " a few"] * 2
+    assert token_counts.count_all(texts, encoder, chunk=200, overlap=20) == [
+        len(encoder.tokenizer.encode(x, add_special_tokens=False).ids) for x in texts]
+
+
 @settings(max_examples=300, deadline=None)
 @given(TEXT)
 def test_pieces_are_the_library_s(text):
