@@ -1,6 +1,6 @@
-"""Running totals and average ranks over groups of any size.
+"""Running totals, average ranks and neighbours over groups of any size.
 
-Both work on pre-aggregated distinct values with a weight. A group with more distinct
+All work on pre-aggregated distinct values with a weight. A group with more distinct
 values than ``split`` is cut into consecutive value ranges first: each range is totalled
 on its own and shifted by the ranges below it, so no task ever sorts a whole hot group.
 Groups of any size take this one plan. The cut points are approximate percentiles of a
@@ -57,3 +57,26 @@ def average_rank(df: DataFrame, group, value: str, weight: str, out: str,
     return (totalled.withColumn("_ties", F.sum(weight).over(ties))
             .withColumn(out, (F.col("_upto") * 2 - F.col("_ties") + 1) / 2.0)
             .drop("_upto", "_ties"))
+
+
+def with_neighbours(df: DataFrame, group, value: str, columns, split: int = SPLIT,
+                    descending: bool = False) -> DataFrame:
+    """Adds ``before_<c>`` and ``after_<c>``: the columns of the rows next to this one in the
+    order of ``value``, which is distinct in a group; NULL beyond the ends."""
+    group = list(group)
+    ranged = _with_ranges(df, group, value, split)
+    way = (lambda c: F.col(c).desc()) if descending else (lambda c: F.col(c).asc())
+    row = F.struct(*columns)
+    low, high = F.min_by(row, value), F.max_by(row, value)
+    ends = ranged.groupBy(*group, "_range").agg(
+        (high if descending else low).alias("_first"), (low if descending else high).alias("_last"))
+    ranges = Window.partitionBy(*group).orderBy(way("_range"))
+    ends = ends.select(*group, "_range", F.lag("_last").over(ranges).alias("_left"),
+                       F.lead("_first").over(ranges).alias("_right"))
+    inside = Window.partitionBy(*group, "_range").orderBy(way(value))
+    near = (ranged.withColumn("_before", F.lag(row).over(inside)).withColumn("_after", F.lead(row).over(inside))
+            .join(ends, [*group, "_range"]))
+    sides = {f"{side}_{c}": F.coalesce(own, edge)[c]
+             for side, own, edge in (("before", F.col("_before"), F.col("_left")), ("after", F.col("_after"), F.col("_right")))
+             for c in columns}
+    return near.withColumns(sides).drop("_range", "_before", "_after", "_left", "_right")

@@ -43,7 +43,7 @@ def shared_rows(probe: DataFrame, other: DataFrame, block: int = PROBE_BLOCK) ->
             .groupBy("a", "b").agg(F.sum("n").alias("shared")))
 
 
-def row_overlap(fleet: Fleet, threshold: float = 0.0, block: int = PROBE_BLOCK) -> DataFrame:
+def row_overlap(fleet: Fleet, threshold: float = V.OVERLAP_THRESHOLD, block: int = PROBE_BLOCK) -> DataFrame:
     """Pairs of datasets with shared / smaller > threshold; ``a`` is the earlier one."""
     hashes = with_positions(sorted_row_hashes(fleet), fleet.datasets).select("pos", "h")
     sizes = hashes.groupBy("pos").agg(F.count("*").alias("size"))

@@ -5,10 +5,10 @@
 
 Class metrics come from the confusion table and threshold metrics from counts per distinct
 score, so rows are reduced in the map tasks before the first exchange."""
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetsieve.functions.ranking import SPLIT, running_total
+from fleetsieve.functions.ranking import SPLIT, running_total, with_neighbours
 from fleetsieve.functions.stats import normal_quantile, ratio
 
 # Fixed value: smallest denominator of the relative error.
@@ -114,10 +114,10 @@ def roc_points(scores: DataFrame, split: int = SPLIT, drop_intermediate: bool =
         F.sum("pos").alias("all_pos"), F.sum("neg").alias("all_neg"))
     cum = _cumulated(scores, split).select("dataset_id", "cls", "score", "tp", (F.col("seen") - F.col("tp")).alias("fp"))
     if drop_intermediate:
-        order = Window.partitionBy("dataset_id", "cls").orderBy(F.col("score").desc())
-        bend = lambda c: (F.lead(c).over(order) - F.col(c)) - (F.col(c) - F.lag(c).over(order))
-        cum = (cum.withColumn("b1", bend("tp")).withColumn("b2", bend("fp"))
-               .where(F.col("b1").isNull() | (F.col("b1") != 0) | (F.col("b2") != 0)).drop("b1", "b2"))
+        near = with_neighbours(cum, ["dataset_id", "cls"], "score", ["tp", "fp"], split, descending=True)
+        bend = lambda c: (F.col(f"after_{c}") - F.col(c)) - (F.col(c) - F.col(f"before_{c}"))
+        cum = (near.where(bend("tp").isNull() | (bend("tp") != 0) | (bend("fp") != 0))
+               .select("dataset_id", "cls", "score", "tp", "fp"))
     start = totals.select("dataset_id", "cls", F.lit(None).cast("double").alias("score"),
                           F.lit(0).cast("bigint").alias("tp"), F.lit(0).cast("bigint").alias("fp"))
     return cum.unionByName(start).join(totals, ["dataset_id", "cls"]).select(
@@ -125,16 +125,32 @@ def roc_points(scores: DataFrame, split: int = SPLIT, drop_intermediate: bool =
         ratio(F.col("tp"), F.col("all_pos")).alias("tpr"))
 
 
-def regression_metrics(preds: DataFrame) -> DataFrame:
+def median_error(preds: DataFrame, split: int = SPLIT) -> DataFrame:
+    """dataset_id, median_ae: the middle absolute error, or the mean of the two in the middle."""
+    counted = (preds.select("dataset_id", F.abs(F.col("yhat") - F.col("y")).alias("e")).where("e is not null")
+               .groupBy("dataset_id", "e").agg(F.count("*").alias("w")))
+    sizes = counted.groupBy("dataset_id").agg(F.sum("w").alias("n"))
+    cum = running_total(counted, ["dataset_id"], "e", "w", "upto", split).join(sizes, "dataset_id")
+    at = lambda place: F.min(F.when(F.col("upto") >= place, F.col("e")))
+    return cum.groupBy("dataset_id").agg(
+        ((at(F.floor((F.col("n") + 1) / 2)) + at(F.floor(F.col("n") / 2) + 1)) / 2.0).alias("median_ae"))
+
+
+def regression_metrics(preds: DataFrame, split: int = SPLIT) -> DataFrame:
+    return error_totals(preds).join(median_error(preds, split), "dataset_id", "left").select(
+        "dataset_id", "r2", "rmse", "mae", "median_ae", "mape", "max_error")
+
+
+def error_totals(preds: DataFrame) -> DataFrame:
+    """The metrics that are plain sums and maxima."""
     e = F.col("yhat") - F.col("y")
     agg = preds.groupBy("dataset_id").agg(
         F.sum(e * e).alias("sse"), F.var_pop("y").alias("v"), F.count("*").alias("n"), F.avg(F.abs(e)).alias("mae"),
-        F.percentile(F.abs(e), F.lit(0.5)).alias("median_ae"),
         F.avg(F.abs(e) / F.greatest(F.abs("y"), F.lit(EPSILON))).alias("mape"), F.max(F.abs(e)).alias("max_error"))
     flat = F.when(F.col("sse") == 0, 1.0).otherwise(0.0)
     return agg.select("dataset_id", F.when(F.col("v") == 0, flat).otherwise(
         1.0 - F.try_divide("sse", F.col("v") * F.col("n"))).alias("r2"),
-        F.sqrt(F.col("sse") / F.col("n")).alias("rmse"), "mae", "median_ae", "mape", "max_error")
+        F.sqrt(F.col("sse") / F.col("n")).alias("rmse"), "mae", "mape", "max_error")
 
 
 def density2d(points: DataFrame, bins: int = 60) -> DataFrame:

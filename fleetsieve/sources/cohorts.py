@@ -30,17 +30,18 @@ def balanced(sides: DataFrame, seed: str = "0", salts: int = 1) -> DataFrame:
     return sample_n(sides, ["label", "side"], "n_each", seed, "sample", salts)
 
 
-def one_vs_healthy(labels: DataFrame, healthy=V.HEALTHY_CODES, min_cases=V.MIN_CASES) -> DataFrame:
+def one_vs_healthy(labels: DataFrame, healthy=V.HEALTHY_CODES, min_cases=V.MIN_CASES, blocks: int = 64) -> DataFrame:
     """sample, disease, label: for each frequent disease its patients and all healthy ones.
-    Each healthy sample is repeated once per frequent disease, which is the output itself."""
+    Each healthy sample is repeated once per frequent disease, which is the output itself;
+    the list of diseases is a table that meets one of ``blocks`` parts of them at a time."""
     known = labels.select("sample", F.trim("disease").alias("disease"))
     is_healthy = F.col("disease").isin(*healthy)
     frequent = (known.where(~is_healthy).groupBy("disease").agg(F.count("*").alias("n"))
                 .where(F.col("n") >= min_cases).select("disease"))
-    listed = frequent.agg(F.array_sort(F.collect_list("disease")).alias("all"))
+    listed = frequent.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     ill = known.join(frequent, "disease", "left_semi").select("sample", "disease", F.lit("disease").alias("label"))
-    well = (known.where(is_healthy).select("sample").crossJoin(F.broadcast(listed))
-            .select("sample", F.explode("all").alias("disease"), F.lit("healthy").alias("label")))
+    well = (known.where(is_healthy).select("sample", F.pmod(F.hash("sample"), F.lit(blocks)).alias("block"))
+            .join(listed, "block").select("sample", "disease", F.lit("healthy").alias("label")))
     return ill.unionByName(well)
 
 

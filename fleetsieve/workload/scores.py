@@ -364,7 +364,7 @@ def a6a(spark, sf):
 
 @query("j6_row_overlap", q(f"SELECT earlier, later, shared, {r6('overlap')} AS overlap FROM edges"))
 def j6(spark, sf):
-    return out(D.row_overlap(fleet(spark, sf)), "earlier", "later", "shared", rounded=["overlap"])
+    return out(D.row_overlap(fleet(spark, sf), 0.0), "earlier", "later", "shared", rounded=["overlap"])
 
 
 GREEDY = """WITH RECURSIVE {ctes},
