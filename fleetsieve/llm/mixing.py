@@ -1,12 +1,13 @@
 """Mixing sources to target weights with a multivariate-hypergeometric splitting tree.
 
 Documents are hashed into blocks of about `block_words` words within their source. A source whose
-target is r times its words is drawn floor(r) times in full; of one more permutation of its blocks
-the first ones are drawn until the rest of the target is met. The block that crosses the target is
-cut between documents (longer ones first, so that short ones are left to end near the target), and up to `fills` documents nearest to what is still open fill the gap. Block draws
-are then dealt to output shards: a binary tree over the shards splits the quotas of all sources at
-once by exact multivariate hypergeometric draws, so every shard gets its exact number of blocks and
-a random share of every source. A shard takes a range of the permuted blocks of a source that no
+target is r times its words is drawn floor(r) times in full; one more permutation of its blocks is
+walked, documents in the order of their hash within each, and every document no longer than what is
+still open of the target is taken; longer ones are skipped, until none fits. Then the shortest document
+left is added if it brings the source nearer to its target. Every block with a document taken is a
+draw. Block draws are then dealt to output shards: a binary tree over the shards splits the quotas of
+all sources at once by exact multivariate hypergeometric draws, so every shard gets its exact number
+of blocks and a random share of every source. A shard takes a range of the permuted blocks of a source that no
 other shard has; the mixture is shuffled within shards only.
 
 Defined results: a null or empty text has size 0 and is never drawn; null sources are one source,
@@ -123,8 +124,54 @@ def split_quotas(quotas: DataFrame, shards: int, seed: int) -> DataFrame:
     return node.select(F.col("lo").cast("int").alias("shard"), F.inline("quotas")).filter("q > 0")
 
 
+def _same_source(left, right, *also):
+    on = left["source"].eqNullSafe(right["source"])
+    for c in also:
+        on = on & (left[c] == right[c])
+    return on
+
+
+def _walk(sized: DataFrame, state: DataFrame) -> DataFrame:
+    """The next stretch of the walk of every open source, up to the first document that is longer than
+    what is then left: source, until (its place, null at the end of the walk), left."""
+    ahead = sized.join(F.broadcast(state), _same_source(sized, state)).filter(
+        (F.col("size") <= F.col("gap")) & (F.col("front").isNull() | (F.col("place") > F.col("front")))).select(sized["*"], "gap")
+    order = Window.partitionBy("source").orderBy("place.turn", "place.block")
+    crossed = F.col("upto") > F.col("gap")
+    stops = (
+        ahead.groupBy("source", "gap", "place.turn", "place.block").agg(F.sum("size").alias("words"))
+        .withColumn("place", F.struct("turn", "block")).withColumn("upto", F.sum("words").over(order))
+        .groupBy("source", "gap").agg(F.max("upto").alias("all"), F.min(F.when(crossed, F.struct(
+            F.col("turn").alias("turn"), F.col("block").alias("block"), (F.col("gap") - F.col("upto") + F.col("words")).alias("room")))).alias("stop"))
+        .select("source", (F.col("gap") - F.col("all")).alias("rest"), "stop"))
+    inside = ahead.join(F.broadcast(stops), _same_source(ahead, stops) & (ahead["place.turn"] == stops["stop.turn"]) & (ahead["place.block"] == stops["stop.block"]))
+    inside = (
+        inside.select(ahead["*"], F.col("stop.room").alias("room"))
+        .withColumn("upto", F.sum("size").over(Window.partitionBy("source").orderBy("place"))).filter("upto > room")
+        .groupBy("source").agg(F.min(F.struct("place", (F.col("room") - F.col("upto") + F.col("size")).alias("left"))).alias("at")))
+    return stops.join(inside, _same_source(stops, inside), "left").select(
+        stops["source"], F.col("at.place").alias("until"), F.coalesce("at.left", "rest").alias("left"))
+
+
+def fill_targets(sized: DataFrame, rests: DataFrame) -> DataFrame:
+    """source -> gap, stretches: a walk over the documents of a source by `place` that takes each one no
+    longer than what is still open. It goes in stretches (limit, until) in which the longest document
+    taken is `limit`; every stretch is a few aggregates over all sources at once."""
+    kind = sized.schema["place"].dataType.simpleString()
+    state = cut(rests.filter("rest > 0").select(
+        "source", F.col("rest").alias("gap"), F.lit(None).cast(kind).alias("front"),
+        F.array().cast(f"array<struct<limit:bigint,until:{kind}>>").alias("stretches"), F.lit(True).alias("open")))
+    while not state.filter("open").isEmpty():
+        found = _walk(sized, state.filter("open").select("source", "gap", "front"))
+        state = cut(state.join(found, _same_source(state, found), "left").select(
+            state["source"], F.coalesce("left", "gap").cast("long").alias("gap"), F.col("until").alias("front"),
+            F.when(F.col("open"), F.concat("stretches", F.array(F.struct(F.col("gap").alias("limit"), "until")))).otherwise(F.col("stretches")).alias("stretches"),
+            F.col("until").isNotNull().alias("open")))
+    return state.select("source", "gap", "stretches")
+
+
 def plan_mix(docs: DataFrame, doc_id="doc_id", source="source", text="text", weights=WEIGHTS, share=1.5, max_repeat=2,
-             block_words=1 << 18, shards=16, fills=3, seed=11) -> DataFrame:
+             block_words=1 << 18, shards=16, seed=11) -> DataFrame:
     """One row per document: doc_id, source, size, source_size, target, shards (the output shard of
     each copy the mix takes; empty if it takes none), shuffle_key (order within a shard), text_hash."""
     source_col = F.col(source).cast("string").alias("source")
@@ -136,56 +183,36 @@ def plan_mix(docs: DataFrame, doc_id="doc_id", source="source", text="text", wei
         .withColumn("rest", F.round(F.col("target") - F.col("passes") * F.col("source_size")).cast("long"))
         .withColumn("n_blocks", F.greatest(F.lit(1), F.ceil(F.col("source_size") / block_words)).cast("long")))
 
-    def with_source(left, right, *also):
-        on = left["source"].eqNullSafe(right["source"])
-        for c in also:
-            on = on & (left[c] == right[c])
-        return on
-
-    placed = slim.join(per_source, with_source(slim, per_source), "left").select(
-        slim["*"], "source_size", "target", F.pmod("key", "n_blocks").alias("block"))
-    sized = placed.filter("size > 0")
-    blocks = sized.groupBy("source", "block").agg(F.sum("size").alias("words"))
-    order = Window.partitionBy("source", "pass").orderBy(F.xxhash64(F.lit(seed + 1), "source", "pass", "block"), "block")
-    draws = (
-        blocks.join(per_source, with_source(blocks, per_source))
-        .select(blocks["*"], "passes", "rest",
-                F.explode(F.sequence(F.lit(0).cast("long"), F.col("passes"))).alias("pass"))
-        .withColumn("upto", F.sum("words").over(order)).withColumn("nth", F.row_number().over(order))
-        .withColumn("whole", (F.col("pass") < F.col("passes")) | (F.col("upto") <= F.col("rest")))
-        .filter(F.col("whole") | (F.col("upto") - F.col("words") < F.col("rest"))))
-    draws = cut(draws.select("source", "block", "pass", "whole", (F.col("rest") - F.col("upto") + F.col("words")).alias("room"),
-                             F.row_number().over(Window.partitionBy("source").orderBy("pass", "nth")).alias("draw")))
+    block = F.pmod("key", "n_blocks")
+    turn = F.xxhash64(F.lit(seed + 1), slim["source"], "passes", block)
+    placed = slim.join(F.broadcast(per_source), _same_source(slim, per_source), "left").select(
+        slim["*"], "source_size", "target", "passes", block.alias("block"),
+        F.struct(turn.alias("turn"), block.alias("block"), "key", "text_hash", "row").alias("place"))
+    sized = placed.filter("size > 0").select("source", "size", "place")
+    filled = fill_targets(sized, per_source)
+    placed = placed.join(F.broadcast(filled), _same_source(placed, filled), "left").select(placed["*"], "gap", "stretches")
+    stretch = F.get(F.filter("stretches", lambda x: x["until"].isNull() | (F.col("place") < x["until"])), F.lit(0))
+    placed = placed.withColumn("taken", F.coalesce((F.col("size") > 0) & (F.col("size") <= stretch["limit"]), F.lit(False)))
+    # What is open now is less than any document left; the shortest one may still bring the source nearer.
+    closing = cut(placed.filter("size > 0 and not taken and size < 2 * gap").groupBy("source").agg(F.min(F.struct("size", "place"))["place"].alias("last")))
+    placed = placed.join(F.broadcast(closing), _same_source(placed, closing), "left").select(placed["*"], "last")
+    placed = placed.withColumn("taken", F.col("taken") | F.coalesce(F.col("place") == F.col("last"), F.lit(False))).drop("gap", "stretches", "last")
+
+    blocks = placed.filter("size > 0").groupBy("source", "block", "passes").agg(F.bool_or("taken").alias("touched"))
+    order = Window.partitionBy("source").orderBy("pass", F.xxhash64(F.lit(seed + 1), "source", "pass", "block"), "block")
+    draws = cut(
+        blocks.withColumn("pass", F.explode(F.sequence(F.lit(0).cast("long"), F.col("passes"))))
+        .filter((F.col("pass") < F.col("passes")) | F.col("touched"))
+        .select("source", "block", "pass", (F.col("pass") == F.col("passes")).alias("partly"), F.row_number().over(order).alias("draw")))
     dealt = split_quotas(draws.groupBy("source").agg(F.count("*").alias("q")), shards, seed + 2)
     last = F.sum("q").over(Window.partitionBy("source").orderBy("shard"))
     dealt = dealt.withColumn("last", last).select(
         "source", "shard", F.explode(F.sequence(F.col("last") - F.col("q") + 1, "last")).alias("draw"))
-    draws = cut(draws.join(dealt, with_source(draws, dealt, "draw")).select(draws["*"], "shard"))
-
-    whole = draws.filter("whole").groupBy("source", "block").agg(
-        F.sort_array(F.collect_list(F.struct("pass", "shard"))).alias("drawn"))  # one entry a pass
-    crossing = draws.filter("not whole").select("source", "block", "room", "shard")
-    inside = sized.join(crossing, with_source(sized, crossing, "block")).select(sized["*"], "room", "shard")
-    fits = cut(inside.withColumn("upto", F.sum("size").over(Window.partitionBy("source").orderBy(F.floor(F.log2("size")).desc(), "key", "row")))
-               .filter("upto <= room").select("row", "source", "size", "shard"))
-    used = fits.groupBy("source").agg(F.sum("size").alias("used"))
-    gaps = crossing.join(used, with_source(crossing, used), "left").select(
-        crossing["source"], "shard", (F.col("room") - F.coalesce("used", F.lit(0))).alias("gap"))
-    free = sized.join(whole, with_source(sized, whole, "block"), "left").select(sized["*"], F.coalesce(F.size("drawn"), F.lit(0)).alias("n"))
-    n_passes = per_source.select("source", "passes")
-    free = free.join(n_passes, with_source(free, n_passes)).filter("n <= passes").select("row", "key", "size", free["source"])
-    free = cut(free.join(fits.select("row"), "row", "left_anti"))
-    more = fits.select("row", "shard")
-    for _ in range(fills):
-        best = F.min(F.struct(F.abs(F.col("size") - F.col("gap")).alias("off"), "key", "row", "size")).alias("best")
-        fill = cut(free.join(gaps, with_source(free, gaps)).select(free["*"], "gap", "shard").groupBy(free["source"], "gap", "shard").agg(best)
-                   .filter("best.off < abs(gap)").select("source", "shard", (F.col("gap") - F.col("best.size")).alias("gap"), "best.row"))
-        more = more.unionByName(fill.select("row", "shard"))
-        free, gaps = free.join(fill.select("row"), "row", "left_anti"), fill.select("source", "shard", "gap").filter("gap > 0")
-    out = placed.join(whole, with_source(placed, whole, "block"), "left").select(placed["*"], "drawn")
-    out = out.join(more, "row", "left")
-    shards_of = F.concat(F.when((F.col("size") > 0) & F.col("drawn").isNotNull(), F.transform("drawn", lambda x: x["shard"])).otherwise(F.array().cast("array<int>")),
-                         F.when(F.col("shard").isNotNull(), F.array("shard")).otherwise(F.array().cast("array<int>")))
+    drawn = draws.join(dealt, _same_source(draws, dealt, "draw")).groupBy(draws["source"], "block").agg(
+        F.sort_array(F.collect_list(F.struct("pass", "partly", "shard"))).alias("drawn"))  # one entry a pass
+    out = placed.join(drawn, _same_source(placed, drawn, "block"), "left").select(placed["*"], "drawn")
+    mine = F.filter("drawn", lambda x: (F.col("size") > 0) & (~x["partly"] | F.col("taken")))
+    shards_of = F.coalesce(F.transform(mine, lambda x: x["shard"]), F.array().cast("array<int>"))
     return out.select("doc_id", "source", "size", "source_size", "target", shards_of.alias("shards"), F.col("key").alias("shuffle_key"), "text_hash")
 
 
