@@ -1,6 +1,7 @@
 """Mixing sources to target weights with a multivariate-hypergeometric splitting tree.
 
-Documents are hashed into blocks of about `block_words` words within their source. A source whose
+Documents are hashed into blocks of at most about `block_words` words within their source, however
+small the source is at least `SHARD_BLOCKS` a shard or as many as it has documents. A source whose
 target is r times its words is drawn floor(r) times in full; one more permutation of its blocks is
 walked, documents in the order of their hash within each, and every document no longer than what is
 still open of the target is taken; longer ones are skipped, until none fits. Then the shortest document
@@ -20,6 +21,8 @@ from fleetsieve.llm.common import fresh, one_row_each, word_count
 from fleetsieve.session import cut
 
 WEIGHTS = (5, 2, 1)
+#: Blocks a source has at least for each shard, if it has as many documents.
+SHARD_BLOCKS = 16
 
 
 def source_targets(sizes: DataFrame, weights=WEIGHTS, share=1.5, max_repeat=2) -> DataFrame:
@@ -181,7 +184,8 @@ def plan_mix(docs: DataFrame, doc_id="doc_id", source="source", text="text", wei
         source_targets(slim, weights, share, max_repeat)
         .withColumn("passes", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
         .withColumn("rest", F.round(F.col("target") - F.col("passes") * F.col("source_size")).cast("long"))
-        .withColumn("n_blocks", F.greatest(F.lit(1), F.ceil(F.col("source_size") / block_words)).cast("long")))
+        .withColumn("n_blocks", F.greatest(
+            F.lit(1), F.least("docs", F.lit(SHARD_BLOCKS * shards)), F.ceil(F.col("source_size") / block_words)).cast("long")))
 
     block = F.pmod("key", "n_blocks")
     turn = F.xxhash64(F.lit(seed + 1), slim["source"], "passes", block)

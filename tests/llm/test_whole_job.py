@@ -17,7 +17,8 @@ def test_mix_skips_a_document_larger_than_the_room(spark):
     assert (plan["size"] * plan.copies).sum() == 62_500 and plan.copies.max() == 1
 
 
-def test_mix_walks_on_until_no_document_fits(spark):
+def test_mix_walks_on_until_no_document_fits(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SHARD_BLOCKS", 1)  # one block: the walk goes by shuffle_key
     rnd = random.Random(7)
     plan = _plan(spark, [int(rnd.lognormvariate(3, 2)) + 3 for _ in range(1500)], share=0.4, block_words=1 << 30, shards=1)
     left, taken, by_key = round(plan.target[0]), set(), plan.sort_values("shuffle_key")
@@ -29,3 +30,13 @@ def test_mix_walks_on_until_no_document_fits(spark):
     assert left < others["size"].min()
     chosen = set(plan[plan.copies > 0].doc_id)
     assert taken <= chosen and len(chosen - taken) == (others["size"].min() < 2 * left)
+
+
+def test_mix_deals_a_small_source_to_all_shards(spark):
+    rnd = random.Random(8)
+    plan = _plan(spark, [rnd.randint(1, 100) for _ in range(3000)], share=0.5)
+    taken = plan[plan.copies > 0]
+    assert abs((taken["size"] * taken.copies).sum() - plan.target[0]) <= 1
+    words = taken.assign(shard=taken.shards.str[0]).groupby("shard")["size"].sum()
+    assert len(words) == 16 and words.max() < 2.5 * words.mean()
+    assert abs(taken["size"].mean() - plan["size"].mean()) < 3  # short ones are taken as often as long ones
