@@ -14,8 +14,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 # Elements of HTML, and words by which pages name what isn't their text.
-SKIPPED = "script style noscript template textarea select option button svg math iframe object canvas head title".split()
-BLOCKS = set("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
+SKIPPED = "script style noscript template textarea select datalist option button svg math iframe object canvas title".split()
+RAW = set("script style textarea iframe title option".split())
+BLOCKS = set("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 ASIDE = set("nav footer aside form menu dialog".split())
 NAMED = re.compile(r"(?:^|[\s_-])(?:ads?|advert(?:isement|ising|s)?|banner|sponsor(?:ed)?|promo|sidebar|side-bar|menu|nav(?:bar|igation)?|breadcrumbs?|footer|masthead|cookies?|consent|gdpr|notice|popup|modal|newsletter|subscribe|share|sharing|social|related|recommended|comments?|replies|disqus|discussion|form|login|signup|search|pagination|widget|copyright)(?:$|[\s_-])", re.I)
@@ -27,6 +28,9 @@ el los las y que en un por con una para su al lo como más pero sus no es del se
 
 TOKEN = re.compile(r"""<!--(?P<comment>.*?)(?:-->|\Z)|<(?P<skip>%s)(?=[\s/>])(?:[^>"']|"[^"]*"|'[^']*')*+>|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attributes>(?:[^>"']|"[^"]*"|'[^']*')*+)>|<[!?/][^>]*>""" % "|".join(SKIPPED), re.I | re.S)
 ENDS = {name: re.compile(rf"</{name}\s*(?=[\s>/])[^>]*>", re.I) for name in SKIPPED}
+# The end tag of an option may be left out: the next option, the end of its list or a block ends it too.
+ENDS["option"] = re.compile(r"</option\s*(?=[\s>/])[^>]*>|(?=<(?:/?(?:optgroup|%s)|option|/select|/datalist)[\s>/])" % "|".join(sorted(BLOCKS)), re.I)
+TAG = re.compile(r"<[a-zA-Z/!]")
 HINT = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -50,6 +54,7 @@ def blocks(page: str) -> list[tuple[str, int, bool, int]]:
     out, parts, linked = [], [], 0
     open_, aside, links, articles, article = [], 0, 0, 0, 0
     at, size = 0, len(page)
+    endless = set()
 
     def add(text):
         nonlocal linked
@@ -76,9 +81,15 @@ def blocks(page: str) -> list[tuple[str, int, bool, int]]:
         at = found.end()
         if found["skip"]:
             if not found[0].endswith("/>"):
-                end = ENDS[found["skip"].lower()].search(page, at)
-                at = end.end() if end else size
-            if found["skip"].lower() in ("head", "title"):
+                skip = found["skip"].lower()
+                end = None if skip in endless else ENDS[skip].search(page, at)
+                if end:
+                    at = end.end()
+                else:  # without an end it is its tag alone, or its tag and what can only be its own text
+                    endless.add(skip)
+                    tag = TAG.search(page, at) if skip in RAW else None
+                    at = tag.start() if tag else size if skip in RAW else at
+            if found["skip"].lower() == "title":
                 close_block()
             continue
         name = (found["name"] or "").lower()
@@ -88,7 +99,7 @@ def blocks(page: str) -> list[tuple[str, int, bool, int]]:
             parts.append(" ")
         if name in BLOCKS:
             close_block()
-        if name in VOID or found["attributes"].endswith("/"):
+        if name in VOID or name == "head" or found["attributes"].endswith("/"):  # </head> may be left out
             continue
         if not found["close"]:
             if name == "p" and open_ and any(x[0] == "p" for x in open_[-3:]):  # a new paragraph ends the last

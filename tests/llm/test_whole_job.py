@@ -1,7 +1,9 @@
 """Cases in which the corpus operators once did less than the whole job."""
 import random
 
-from fleetsieve.llm import mixing
+import pytest
+
+from fleetsieve.llm import html_extract, mixing
 
 DOCS = "doc_id bigint, text string, source string"
 
@@ -40,3 +42,20 @@ def test_mix_deals_a_small_source_to_all_shards(spark):
     words = taken.assign(shard=taken.shards.str[0]).groupby("shard")["size"].sum()
     assert len(words) == 16 and words.max() < 2.5 * words.mean()
     assert abs(taken["size"].mean() - plan["size"].mean()) < 3  # short ones are taken as often as long ones
+
+
+@pytest.mark.parametrize("page, text", [
+    ("<html><head><title>x</title><body><article><p>in</p></article>", "in"),
+    ("<html><head><meta charset=utf-8><title>x</title><style>p{}</style></head><body><p>in</p>", "in"),
+    ("<article><p>a</p><datalist><option>x<option>y</datalist><p>b</p></article>", "a\n\nb"),
+    ("<article><p>a</p><datalist><option>x<option>y<p>b</p></article>", "a\n\nb"),
+    ("<article><p>a</p><option>x<option>y<p>b</p><option>z</option></article>", "a\n\nb"),
+    ("<article><p>a</p><script>var x = 1;<p>b</p></article>", "a\n\nb"),
+    ("<article><p>a</p><title>x<p>b</p></article>", "a\n\nb"),
+    *((f"<article><p>a</p><{name}><p>b</p></article>", "a\n\nb") for name in html_extract.SKIPPED)])
+def test_an_element_without_its_end_loses_no_text(page, text):
+    assert html_extract.main_text(page) == text
+
+
+def test_many_elements_without_an_end_are_one_search():
+    assert html_extract.main_text("<svg>" * 50_000 + "<p>in") == "in"
