@@ -4,8 +4,9 @@ A scanner cuts a page into blocks at block-level tags. First each block is judge
 stands in a navigation, header, footer, sidebar, notice, advert, form or comment section, or mostly
 in links, is boilerplate; long blocks with many stop words are text; long ones with hardly any are
 boilerplate. Short blocks and those in between stay open and, in a second pass, take the label of the
-nearest decided blocks around them. An <article> or <main> bounds the text: blocks outside of it are
-never text, and inside of it stop words only count in favour of a block.
+nearest decided blocks around them. Where no block has enough stop words, all long blocks that aren't
+mostly links are text, and blocks of links label no others. An <article> or <main> bounds the text:
+blocks outside of it are never text, and inside of it stop words only count in favour of a block.
 """
 import html
 import re
@@ -135,11 +136,13 @@ def main_text(page: str, long=70, many=0.25, few=0.1, linked=0.5) -> str:
     """The text blocks of a page, two line ends between them."""
     found = blocks(page)
     bounded = any(article and not aside for _, _, aside, article in found)
-    labels, barren = [], set()
+    labels, barren, listing = [], set(), set()
     for i, (text, links, aside, article) in enumerate(found):
         solid = len(text.replace(" ", ""))
         if aside or bounded and not article or links > linked * solid:
             labels.append(False)
+            if not aside and (article or not bounded):
+                listing.add(i)
             continue
         words = LETTERS.findall(text.lower())
         density = sum(w in STOP for w in words) / len(words) if words else 0.0
@@ -150,14 +153,17 @@ def main_text(page: str, long=70, many=0.25, few=0.1, linked=0.5) -> str:
             barren.add(i)
         else:
             labels.append(None)
-    if True not in labels:  # no stop words anywhere: they can't tell text from the rest
-        labels = [None if i in barren else x for i, x in enumerate(labels)]
+    if True not in labels:  # no stop words anywhere: they can't tell text from the rest, but length can
+        labels = [True if i in barren or x is None and len(found[i][0]) >= long else x for i, x in enumerate(labels)]
+        mute = listing if bounded or True in labels else set()  # a byline or a list of tags says nothing about the text next to it
+    else:
+        mute = set()
     out, before = [], [None] * len(labels)
     last = None
     for i, label in enumerate(labels):  # nearest decided block of the same part of the page, before and after
         if i and found[i][3] != found[i - 1][3]:
             last = None
-        if label is not None and not found[i][2]:
+        if label is not None and not found[i][2] and i not in mute:
             last = (i, label)
         before[i] = last
     last = None
@@ -172,7 +178,7 @@ def main_text(page: str, long=70, many=0.25, few=0.1, linked=0.5) -> str:
                 label = any(x[1] for x, gap in zip(near, gaps) if gap == min(gaps))
             else:
                 label = True  # nothing decided around it: it is all the text there is
-        elif not found[i][2]:
+        elif not found[i][2] and i not in mute:
             last = (i, label)
         if label:
             out.append(found[i][0])

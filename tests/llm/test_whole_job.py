@@ -59,3 +59,21 @@ def test_an_element_without_its_end_loses_no_text(page, text):
 
 def test_many_elements_without_an_end_are_one_search():
     assert html_extract.main_text("<svg>" * 50_000 + "<p>in") == "in"
+
+
+@pytest.mark.parametrize("bounds", [("<article>", "</article>"), ("<div>", "</div>")])
+def test_links_do_not_empty_a_page_without_stop_words(bounds):
+    texts = [f"{k} " + "lorem dolor sit amet consectetur adipiscing " * 6 for k in "abcd"]
+    link, title = "<p><a href='/x'>vinculum nomen</a></p>", "<h1>Titulus</h1>"
+    page = bounds[0] + title + link + f"<p>{texts[0]}</p><p>{texts[1]}</p>" + link + f"<p>{texts[2]}</p><p>{texts[3]}</p>" + link + bounds[1]
+    whole = "\n\n".join(["Titulus", *map(str.strip, texts)])
+    assert html_extract.main_text(page) == html_extract.main_text(page.replace(link, "")) == whole
+
+
+def test_short_lines_among_links_stay_out():
+    page = "".join(f"<div>item {i}</div><div><a href='/{i}'>link number {i}</a></div>" for i in range(5))
+    assert html_extract.main_text(page) == ""
+
+
+def test_short_paragraphs_of_an_article_survive_its_byline():
+    assert html_extract.main_text("<article><p><a href='/x'>山田太郎</a></p><p>今日は晴れです。</p><p>明日は雨でしょう。</p></article>") == "今日は晴れです。\n\n明日は雨でしょう。"
