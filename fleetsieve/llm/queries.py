@@ -1,7 +1,8 @@
 """One query per operator over its whole table; SQL twins where SQL can express the result."""
 from pyspark.sql import functions as F
 
-from fleetsieve.llm import exact_dedup, html_extract, language_id, licenses, mixing, piece_codec, simhash, token_counts, url_filter, vector_search
+from fleetsieve.llm import (divergence, exact_dedup, html_extract, language_id, lexical, licenses, mixing, piece_codec, repeats, simhash,
+                            token_counts, url_filter, vector_search)
 from fleetsieve.llm.common import table
 
 QUERIES, ORACLES = {}, {}
@@ -85,6 +86,52 @@ def op10_piece_codec(spark, sf_dir):
     return piece_codec.encode_documents(table(spark, sf_dir, "documents"))
 
 
+@query("op11_suffix_dedup")
+def op11_suffix_dedup(spark, sf_dir):
+    return repeats.remove_repeats(table(spark, sf_dir, "documents"))
+
+
+@query("op12_source_divergence", r"""
+WITH d AS (SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                  translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+t AS (SELECT id, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+n AS (SELECT lang, source, term, count(*) AS c, count(DISTINCT id) AS docs FROM t GROUP BY ALL),
+k AS (SELECT lang, term, sum(c) AS cl FROM n GROUP BY ALL HAVING sum(docs) >= 30),
+g AS (SELECT DISTINCT lang, source FROM d),
+x AS (SELECT g.lang, g.source, k.term, coalesce(n.c, 0) AS c, k.cl,
+             sum(coalesce(n.c, 0)) OVER w AS size, sum(k.cl) OVER w AS lang_size, count(*) OVER w AS kept
+      FROM g JOIN k ON g.lang = k.lang LEFT JOIN n ON n.lang = g.lang AND n.source = g.source AND n.term = k.term
+      WINDOW w AS (PARTITION BY g.lang, g.source)),
+p AS (SELECT lang, source, term, c, 1 + (1000000000 * (c + 5)::HUGEINT) // (size + 5 * kept)::HUGEINT AS p,
+             1 + (1000000000 * (cl + 5)::HUGEINT) // (lang_size + 5 * kept)::HUGEINT AS q FROM x),
+s AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+r AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(s.value, 0) AS BIGINT) AS value
+      FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+      UNION ALL SELECT lang, source, 'term', term, CAST(p - q AS BIGINT) FROM p WHERE c > 0 AND p > q)
+SELECT lang, source, part, item, value, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
+FROM r QUALIFY part = 'pair' OR rank <= 50""")
+def op12_source_divergence(spark, sf_dir):
+    return divergence.source_divergence(table(spark, sf_dir, "documents"))
+
+
+@query("op13_lexical_search", r"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                  '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
+f AS (SELECT row, doc_id, terms, CAST(len(terms) AS BIGINT) AS n FROM d WHERE len(terms) > 0),
+a AS (SELECT count(*) AS n_all, CAST(sum(n) AS BIGINT) AS l_all FROM f),
+t AS (SELECT row, term, count(*) AS tf FROM (SELECT row, unnest(terms) AS term FROM f) GROUP BY ALL),
+q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                  '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+w AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * n_all + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w FROM t, a GROUP BY term, n_all),
+m AS (SELECT row, doc_id, 100 - 50 + ((50 * n * n_all) // l_all) AS m FROM f, a),
+s AS (SELECT q.item_id, t.row, sum(w.w * ((1000000000 * t.tf) // (1000 * t.tf + 20 * m.m))) AS score
+      FROM q JOIN t ON q.term = t.term JOIN w ON w.term = t.term JOIN m ON m.row = t.row GROUP BY ALL)
+SELECT s.item_id, CAST(row_number() OVER (PARTITION BY s.item_id ORDER BY s.score DESC, m.doc_id) AS INTEGER) AS rank, m.doc_id, CAST(s.score AS BIGINT) AS score
+FROM s JOIN m ON s.row = m.row WHERE s.score > 0 QUALIFY rank <= 50""")
+def op13_lexical_search(spark, sf_dir):
+    return lexical.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query("pipeline")
 def pipeline(spark, sf_dir):
     import corpus_pipeline
