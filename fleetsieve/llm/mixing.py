@@ -1,19 +1,23 @@
 """Mixing sources to target weights with a multivariate-hypergeometric splitting tree.
 
-Documents are hashed into blocks of at most about `block_words` words within their source, however
-small the source is at least `SHARD_BLOCKS` a shard or as many as it has documents. A source whose
-target is r times its words is drawn floor(r) times in full; one more permutation of its blocks is
-walked, documents in the order of their hash within each, and every document no longer than what is
-still open of the target is taken; longer ones are skipped, until none fits. Then the shortest document
-left is added if it brings the source nearer to its target. Every block with a document taken is a
-draw. Block draws are then dealt to output shards: a binary tree over the shards splits the quotas of
+Documents are hashed into blocks within their source: about `block_words` words each, but however small
+the source is at least `SHARD_BLOCKS` a shard or as many as it has documents, and however large at most
+`MOST_BLOCKS`. A source whose target is r times its words is drawn floor(r) times in full; one more
+permutation of its blocks is walked, documents in the order of their hash within each, and every
+document no longer than what is still open of the target is taken; longer ones are skipped. The walk is
+a fixed number of aggregations, whatever the sizes: two stretches by running sums of blocks and of the
+block in which the sum crosses what is open, then, with less open than the second document that didn't
+fit, the next `AHEAD` documents that would fit, one by one. Then the shortest document left is added if it
+brings the source nearer to its target. Every block with a document taken is a draw. Block draws are then dealt to output shards: a binary tree over the shards splits the quotas of
 all sources at once by exact multivariate hypergeometric draws, so every shard gets its exact number
 of blocks and a random share of every source. A shard takes a range of the permuted blocks of a source that no
 other shard has; the mixture is shuffled within shards only.
 
 Defined results: a null or empty text has size 0 and is never drawn; null sources are one source,
 ordered last; rows that share an id are separate documents; an empty table gives an empty mixture.
-Only DataFrame functions run; nothing but one row per source and per tree node meets in one task.
+Only DataFrame functions run. What meets in one task is bounded: a row per source (targets, tree nodes),
+the blocks of a source (`MOST_BLOCKS`), the documents of one block, `AHEAD` documents. Rows per source are
+broadcast up to `FEW_SOURCES` of them, and joined by a shuffle beyond.
 """
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -23,6 +27,12 @@ from fleetsieve.session import cut
 WEIGHTS = (5, 2, 1)
 #: Blocks a source has at least for each shard, if it has as many documents.
 SHARD_BLOCKS = 16
+#: Blocks a source has at most for its size alone.
+MOST_BLOCKS = 1 << 14
+#: Stretches of a walk, and documents that fit which it looks at after them.
+STRETCHES, AHEAD = 2, 1 << 12
+#: Rows that are broadcast at most.
+FEW_SOURCES = 1 << 16
 
 
 def source_targets(sizes: DataFrame, weights=WEIGHTS, share=1.5, max_repeat=2) -> DataFrame:
@@ -124,6 +134,7 @@ def split_quotas(quotas: DataFrame, shards: int, seed: int) -> DataFrame:
                 F.struct(mid.alias("lo"), "hi", F.transform("quotas", lambda x, i: F.struct(x["source"].alias("source"), (x["q"] - F.get(left, i)).alias("q"))).alias("quotas"))))))
             .select("child.lo", "child.hi", F.col("child.quotas").cast(kind).alias("quotas"), "all")
         )
+        node = cut(node)  # a level of the tree
     return node.select(F.col("lo").cast("int").alias("shard"), F.inline("quotas")).filter("q > 0")
 
 
@@ -134,10 +145,10 @@ def _same_source(left, right, *also):
     return on
 
 
-def _walk(sized: DataFrame, state: DataFrame) -> DataFrame:
+def _walk(sized: DataFrame, state: DataFrame, small) -> DataFrame:
     """The next stretch of the walk of every open source, up to the first document that is longer than
     what is then left: source, until (its place, null at the end of the walk), left."""
-    ahead = sized.join(F.broadcast(state), _same_source(sized, state)).filter(
+    ahead = sized.join(small(state), _same_source(sized, state)).filter(
         (F.col("size") <= F.col("gap")) & (F.col("front").isNull() | (F.col("place") > F.col("front")))).select(sized["*"], "gap")
     order = Window.partitionBy("source").orderBy("place.turn", "place.block")
     crossed = F.col("upto") > F.col("gap")
@@ -147,7 +158,7 @@ def _walk(sized: DataFrame, state: DataFrame) -> DataFrame:
         .groupBy("source", "gap").agg(F.max("upto").alias("all"), F.min(F.when(crossed, F.struct(
             F.col("turn").alias("turn"), F.col("block").alias("block"), (F.col("gap") - F.col("upto") + F.col("words")).alias("room")))).alias("stop"))
         .select("source", (F.col("gap") - F.col("all")).alias("rest"), "stop"))
-    inside = ahead.join(F.broadcast(stops), _same_source(ahead, stops) & (ahead["place.turn"] == stops["stop.turn"]) & (ahead["place.block"] == stops["stop.block"]))
+    inside = ahead.join(small(stops), _same_source(ahead, stops) & (ahead["place.turn"] == stops["stop.turn"]) & (ahead["place.block"] == stops["stop.block"]))
     inside = (
         inside.select(ahead["*"], F.col("stop.room").alias("room"))
         .withColumn("upto", F.sum("size").over(Window.partitionBy("source").orderBy("place"))).filter("upto > room")
@@ -156,21 +167,40 @@ def _walk(sized: DataFrame, state: DataFrame) -> DataFrame:
         stops["source"], F.col("at.place").alias("until"), F.coalesce("at.left", "rest").alias("left"))
 
 
-def fill_targets(sized: DataFrame, rests: DataFrame) -> DataFrame:
-    """source -> gap, stretches: a walk over the documents of a source by `place` that takes each one no
-    longer than what is still open. It goes in stretches (limit, until) in which the longest document
-    taken is `limit`; every stretch is a few aggregates over all sources at once."""
+def _pick(sized: DataFrame, state: DataFrame, small) -> DataFrame:
+    """source, gap, picked: rows of the next documents that fit, one by one, and what is open after them."""
+    ahead = sized.join(small(state), _same_source(sized, state)).filter((F.col("size") <= F.col("gap")) & (F.col("place") > F.col("front")))
+    nth = F.row_number().over(Window.partitionBy(sized["source"]).orderBy("place"))
+    ahead = ahead.select(sized["*"], "gap", nth.alias("nth")).filter(F.col("nth") <= AHEAD)
+    steps = F.sort_array(F.collect_list(F.struct("nth", "size", F.col("place.row").alias("row"))))
+    start = F.struct(F.col("gap").alias("gap"), F.array().cast("array<bigint>").alias("picked"))
+
+    def step(acc, x):
+        return F.when(x["size"] <= acc["gap"], F.struct(
+            (acc["gap"] - x["size"]).alias("gap"), F.concat(acc["picked"], F.array(x["row"])).alias("picked"))).otherwise(acc)
+
+    lists = ahead.groupBy("source", "gap").agg(steps.alias("steps"))
+    return lists.select("source", F.aggregate("steps", start, step).alias("end")).select("source", "end.*")
+
+
+def fill_targets(sized: DataFrame, rests: DataFrame, small=F.broadcast) -> DataFrame:
+    """source -> gap, stretches, picked: a walk over the documents of a source by `place` that takes each one
+    no longer than what is still open. In a stretch (limit, until) the longest document taken is `limit`;
+    after the last one single rows are picked."""
     kind = sized.schema["place"].dataType.simpleString()
-    state = cut(rests.filter("rest > 0").select(
+    state = rests.filter("rest > 0").select(
         "source", F.col("rest").alias("gap"), F.lit(None).cast(kind).alias("front"),
-        F.array().cast(f"array<struct<limit:bigint,until:{kind}>>").alias("stretches"), F.lit(True).alias("open")))
-    while not state.filter("open").isEmpty():
-        found = _walk(sized, state.filter("open").select("source", "gap", "front"))
-        state = cut(state.join(found, _same_source(state, found), "left").select(
+        F.array().cast(f"array<struct<limit:bigint,until:{kind}>>").alias("stretches"), F.lit(True).alias("open"))
+    for _ in range(STRETCHES):
+        found = _walk(sized, state.filter("open").select("source", "gap", "front"), small)
+        state = cut(state.join(small(found), _same_source(state, found), "left").select(
             state["source"], F.coalesce("left", "gap").cast("long").alias("gap"), F.col("until").alias("front"),
             F.when(F.col("open"), F.concat("stretches", F.array(F.struct(F.col("gap").alias("limit"), "until")))).otherwise(F.col("stretches")).alias("stretches"),
             F.col("until").isNotNull().alias("open")))
-    return state.select("source", "gap", "stretches")
+    found = _pick(sized, state.filter("open").select("source", "gap", "front"), small)
+    return cut(state.join(small(found), _same_source(state, found), "left").select(
+        state["source"], F.coalesce(found["gap"], state["gap"]).alias("gap"), "stretches",
+        F.coalesce("picked", F.array().cast("array<bigint>")).alias("picked")))
 
 
 def plan_mix(docs: DataFrame, doc_id="doc_id", source="source", text="text", weights=WEIGHTS, share=1.5, max_repeat=2,
@@ -185,22 +215,24 @@ def plan_mix(docs: DataFrame, doc_id="doc_id", source="source", text="text", wei
         .withColumn("passes", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
         .withColumn("rest", F.round(F.col("target") - F.col("passes") * F.col("source_size")).cast("long"))
         .withColumn("n_blocks", F.greatest(
-            F.lit(1), F.least("docs", F.lit(SHARD_BLOCKS * shards)), F.ceil(F.col("source_size") / block_words)).cast("long")))
+            F.lit(1), F.least("docs", F.lit(SHARD_BLOCKS * shards)), F.least(F.lit(MOST_BLOCKS), F.ceil(F.col("source_size") / block_words))).cast("long")))
+    small = F.broadcast if per_source.count() <= FEW_SOURCES else lambda rows: rows
 
     block = F.pmod("key", "n_blocks")
     turn = F.xxhash64(F.lit(seed + 1), slim["source"], "passes", block)
-    placed = slim.join(F.broadcast(per_source), _same_source(slim, per_source), "left").select(
+    placed = slim.join(small(per_source), _same_source(slim, per_source), "left").select(
         slim["*"], "source_size", "target", "passes", block.alias("block"),
         F.struct(turn.alias("turn"), block.alias("block"), "key", "text_hash", "row").alias("place"))
     sized = placed.filter("size > 0").select("source", "size", "place")
-    filled = fill_targets(sized, per_source)
-    placed = placed.join(F.broadcast(filled), _same_source(placed, filled), "left").select(placed["*"], "gap", "stretches")
+    filled = fill_targets(sized, per_source, small)
+    placed = placed.join(small(filled), _same_source(placed, filled), "left").select(placed["*"], "gap", "stretches", "picked")
     stretch = F.get(F.filter("stretches", lambda x: x["until"].isNull() | (F.col("place") < x["until"])), F.lit(0))
-    placed = placed.withColumn("taken", F.coalesce((F.col("size") > 0) & (F.col("size") <= stretch["limit"]), F.lit(False)))
-    # What is open now is less than any document left; the shortest one may still bring the source nearer.
+    taken = (F.col("size") > 0) & ((F.col("size") <= stretch["limit"]) | F.array_contains("picked", F.col("row")))
+    placed = cut(placed.withColumn("taken", F.coalesce(taken, F.lit(False))).drop("stretches", "picked"))
+    # What is open now is less than any document that was skipped; the shortest one may still bring the source nearer.
     closing = cut(placed.filter("size > 0 and not taken and size < 2 * gap").groupBy("source").agg(F.min(F.struct("size", "place"))["place"].alias("last")))
-    placed = placed.join(F.broadcast(closing), _same_source(placed, closing), "left").select(placed["*"], "last")
-    placed = placed.withColumn("taken", F.col("taken") | F.coalesce(F.col("place") == F.col("last"), F.lit(False))).drop("gap", "stretches", "last")
+    placed = placed.join(small(closing), _same_source(placed, closing), "left").select(placed["*"], "last")
+    placed = placed.withColumn("taken", F.col("taken") | F.coalesce(F.col("place") == F.col("last"), F.lit(False))).drop("gap", "last", "place")
 
     blocks = placed.filter("size > 0").groupBy("source", "block", "passes").agg(F.bool_or("taken").alias("touched"))
     order = Window.partitionBy("source").orderBy("pass", F.xxhash64(F.lit(seed + 1), "source", "pass", "block"), "block")
@@ -221,14 +253,17 @@ def plan_mix(docs: DataFrame, doc_id="doc_id", source="source", text="text", wei
 
 
 def mixture(docs: DataFrame, doc_id="doc_id", source="source", text="text", shards=16, seed=11, **settings) -> DataFrame:
-    """The mix itself: the rows of the table, each as often as the mix takes it, range-partitioned by
-    output shard and shuffled within each. Rows equal in id and text count as one document of that many copies."""
+    """The mix itself: the rows of the table, each as often as the mix takes it, partitioned by
+    output shard and part of it, and shuffled within each. Rows equal in id and text count as one document of that many copies."""
     plan = plan_mix(docs, doc_id, source, text, shards=shards, seed=seed, **settings)
     copies = plan.select("doc_id", "text_hash", F.explode("shards").alias("shard")).groupBy("doc_id", "text_hash", "shard").agg(F.count("*").alias("copies"))
-    dealt, shard, times, order = fresh(docs, "dealt", "shard", "copies", "order")
-    copies = copies.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("shard", "copies")).alias(dealt))  # one entry a shard at most
+    dealt, shard, times, order, part = fresh(docs, "dealt", "shard", "copies", "order", "part")
+    # The choice is written before it meets the texts; one entry a shard at most.
+    copies = cut(copies.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("shard", "copies")).alias(dealt)))
     rows = one_row_each(docs, copies, doc_id, text, also=dealt).withColumn(dealt, F.explode(dealt))
     rows = rows.withColumn(shard, F.col(dealt)["shard"]).withColumn(times, F.explode(F.sequence(F.lit(1).cast("long"), F.col(dealt)["copies"])))
     rows = rows.withColumn(order, F.xxhash64(F.lit(seed), F.xxhash64(text), doc_id, times))
-    parts = max(shards, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # a shard may be several parts
-    return rows.repartitionByRange(parts, shard, order).sortWithinPartitions(shard, order).select(*docs.columns)
+    parts = max(shards, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    each = -(-parts // shards)  # a shard may be several parts, by ranges of the order in it
+    rows = rows.withColumn(part, F.floor((F.col(order) / float(1 << 64) + 0.5) * each).cast("int"))
+    return rows.repartition(shards * each, shard, part).sortWithinPartitions(shard, part, order).select(*docs.columns)
