@@ -181,7 +181,11 @@ def identify(docs: DataFrame, doc_id="doc_id", text="text", lang="lang", **setti
 
 def known_language(docs: DataFrame, doc_id="doc_id", text="text", lang="lang", least=0.3, **settings) -> DataFrame:
     """The rows whose text has a language that was learnt, by a probability of at least `least`: texts
-    of two languages or with a few words among numbers stay, those no language explains go."""
+    of two languages or with a few words among numbers stay, those no language explains go. A table
+    without a labelled row teaches no language and loses only its texts without a letter; nulls have none."""
     pred, score = fresh(docs, "lang_pred", "lang_score")
-    rows = predict(docs, fit(docs, doc_id, text, lang, **settings), text, pred, score)
+    model = fit(docs, doc_id, text, lang, **settings)
+    if model is None:
+        return docs.filter(F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)))
+    rows = predict(docs, model, text, pred, score)
     return rows.filter((F.col(pred) != "und") & (F.col(score) >= least)).select(*docs.columns)
