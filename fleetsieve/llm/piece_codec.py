@@ -198,14 +198,17 @@ class Codec:
         ids = np.frombuffer(b"".join(x[0] for some in self.parts(text) for x in some), "<u4").tolist()
         return [self.begin, *ids, self.end]
 
-    def digest(self, text: str) -> tuple[int, str, str]:
-        """Number of ids with begin and end, SHA-256 of the ids and of the decoded text."""
+    def digest(self, text: str, held: list | None = None) -> tuple[int, str, str]:
+        """Number of ids with begin and end, SHA-256 of the ids and of the decoded text; the ids in
+        between, as little-endian bytes, are added to `held`."""
         one = lambda i: np.array([i], "<u4").tobytes()
         n, ids, decoded, first = 2, hashlib.sha256(one(self.begin)), hashlib.sha256(), True
         for some in self.parts(text):
             packed = b"".join([x[0] for x in some])
             n += len(packed) // 4
             ids.update(packed)
+            if held is not None:
+                held.append(packed)
             data = b"".join([x[1] for x in some])
             decoded.update(data[1:] if first and data.startswith(b" ") else data)
             first = False
@@ -230,11 +233,13 @@ def encode_documents(docs: DataFrame, doc_id="doc_id", text="text", model="piece
             texts = batch.column(1)
             for at in range(0, len(texts), 512):
                 some = [x.as_py() for x in texts.slice(at, 512)]
-                rows = [codec.digest(x) for x in some]
+                held = [[] for _ in some]
+                rows = [codec.digest(x, own) for x, own in zip(some, held)]
                 out = [batch.column(0).slice(at, 512), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.string())]
                 names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
                 if with_ids:
-                    out.append(pa.array([codec.encode(x) for x in some], pa.list_(pa.int32())))
+                    whole = [np.concatenate([[codec.begin], np.frombuffer(b"".join(own), "<u4"), [codec.end]]).astype(np.int32) for own in held]
+                    out.append(pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum([len(x) for x in whole])]).astype(np.int32), np.concatenate(whole)))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(out, names=names)
 

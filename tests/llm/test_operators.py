@@ -255,4 +255,10 @@ def test_stages_take_effect(spark, tmp_path):
     kept = corpus_pipeline.known_languages(spark, docs, "")
     assert {r["doc_id"] for r in kept.collect()} == {r[0] for r in rows} - {200}
     assert {r["doc_id"] for r in corpus_pipeline.without_copies(spark, docs, "").collect()} == {*range(60), 200}
-    assert corpus_pipeline.run(spark, str(tmp_path)).columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+    done = corpus_pipeline.run(spark, str(tmp_path))
+    assert done.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"]
+    texts = {r[0]: r[1] for r in rows}
+    for r in piece_codec.decode_documents(done).collect():
+        assert " ".join(r["text"].split()) == texts[r["doc_id"]]
+    for r in done.collect():
+        assert r["n_tokens"] == len(r["ids"]) and hashlib.sha256(np.array(r["ids"], "<u4").tobytes()).hexdigest() == r["ids_sha256"]
