@@ -30,8 +30,8 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of the ids and of the text they decode to."""
-    return piece_codec.encode_documents(docs)
+    """The ids of every text, their number, and digests of them and of the text they decode to."""
+    return piece_codec.encode_documents(docs, with_ids=True)
 
 
 STAGES = [
