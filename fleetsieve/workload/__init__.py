@@ -1,7 +1,7 @@
 """The operators applied to the driver tables."""
 import importlib
 
-MODULES = ["candidates", "targets", "scores", "reports", "models", "flows"]
+MODULES = ["candidates", "targets", "scores", "reports", "models", "flows", "sources"]
 
 
 def load():
