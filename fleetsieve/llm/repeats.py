@@ -13,7 +13,7 @@ its stretch, is a maximal repeat (within stretches: a longer passage is covered
 stretches it runs through). Every window that occurs twice lies in one, so their members cover exactly the
 bytes that a repeated string of `min_len` bytes covers.
 
-A bucket of more than `heavy` distinct stretches (a passage in very many contexts) is cut again: its
+A bucket of more than `heavy` distinct window starts (a passage in very many contexts) is cut again: its
 stretches become the texts of the same procedure with longer grams, in the end as long as the window, where
 a bucket has one distinct stretch. Hashes that very many documents share are spread over the join by salts.
 
@@ -33,8 +33,8 @@ from fleetsieve.session import cut
 
 MIN_LEN = 400
 #: Lengths of the grams that choose a window's bucket, then those of buckets that are cut again.
-GRAMS = (0.32, 0.9, 1.0)
-HEAVY = 256
+GRAMS = (0.32, 0.9, 0.98, 1.0)
+HEAVY = 1 << 17
 #: Windows a stretch has at most, and window starts a task looks at together.
 LONGEST, SLICE, HELD = 512, 1 << 17, 40_000
 _BASE = 0x9E3779B97F4A7C15
@@ -136,7 +136,7 @@ def _emit_stretches(min_len: int, gram: int):
 
 def suffix_array(bodies: list[bytes], twice: list[bool], min_len: int):
     """Enhanced suffix array of the window starts of some stretches: stretch, offset, common prefix with
-    the entry before (0 where it is shorter than min_len), bytes left. A stretch marked twice stands there
+    the entry before (0 where it is shorter than min_len), byte before (-1 at the begin). A stretch marked twice stands there
     as two neighbours in every place."""
     base = np.cumsum([0] + [len(x) for x in bodies])
     text = b"".join(bodies)
@@ -166,7 +166,8 @@ def suffix_array(bodies: list[bytes], twice: list[bool], min_len: int):
     lcp = np.repeat(lcp, times)
     who, at, left = np.repeat(who, times), np.repeat(at, times), np.repeat(left, times)
     lcp[twin] = left[twin]
-    return who, at, lcp, left
+    before = np.where(at > 0, np.frombuffer(text, np.uint8)[base[who] + at - 1].astype(np.int64), -1)
+    return who, at, lcp, before
 
 
 def maximal_repeats(bodies: list[bytes], twice: list[bool], min_len: int):
@@ -174,9 +175,8 @@ def maximal_repeats(bodies: list[bytes], twice: list[bool], min_len: int):
 
     `left` of an interval on the stack is the byte before all its members, or -1 once two differ; members
     that begin a stretch differ from all."""
-    who, at, lcp, _ = suffix_array(bodies, twice, min_len)
-    before = [bodies[w][a - 1] if a else -1 for w, a in zip(who.tolist(), at.tolist())]
-    found, stack, lcps = [], [], lcp.tolist()
+    who, at, lcp, before = suffix_array(bodies, twice, min_len)
+    found, stack, lcps, before = [], [], lcp.tolist(), before.tolist()
     for i in range(1, len(lcps) + 1):
         depth = lcps[i] if i < len(lcps) else 0
         if not stack and depth < min_len:
@@ -250,9 +250,7 @@ def spread_join(rows: DataFrame, lookup: DataFrame, keys: list[str], count: str,
     of `share` of all rows, of which there are at most `share`, is spread over `salts` tasks; the list of
     those is small whatever the data, and is all that is broadcast."""
     total = lookup.agg(F.sum(count)).first()[0] or 0
-    hot = cut(lookup.filter(F.col(count) * share > max(total, 1 << 20)).select(*keys, F.lit(True).alias("hot")))
-    if hot.isEmpty():
-        return rows.join(lookup, keys)
+    hot = cut(lookup.filter(F.col(count) * share > total).select(*keys, F.lit(True).alias("hot")))
     salt = F.pmod(F.xxhash64(*rows.columns), F.lit(salts)).cast("int")
     marked = rows.join(F.broadcast(hot), keys, "left").withColumn("salt", F.when(F.col("hot"), salt).otherwise(0)).drop("hot")
     every = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
@@ -268,19 +266,20 @@ def repeated_ranges(texts: DataFrame, min_len=MIN_LEN, heavy=HEAVY, groups=False
     shared = cut(found.groupBy("h").agg(F.sum("n").alias("all"), F.count("*").alias("rows")).filter(F.col("all") > 1).select("h", "rows"))
     placed = cut(spread_join(found, shared, ["h"], "rows").drop("rows"))
     kinds = cut(placed.groupBy("h", "g").agg(F.sum("n").alias("n"), F.count("*").alias("rows"), F.min(F.struct("a", "b", "start", "len")).alias("at")))
-    large = cut(kinds.groupBy("h").agg(F.count("*").alias("k")).filter(F.col("k") > heavy).select("h", F.lit(True).alias("large")))
+    starts = F.sum(F.col("at.len") - min_len + 1)
+    large = cut(kinds.groupBy("h").agg(starts.alias("k"), F.count("*").alias("kinds")).filter((F.col("k") > heavy) & (F.col("kinds") > 1))
+                .select("h", F.lit(True).alias("large")))
     last = level + 1 == len(GRAMS)
     again = not last and not large.isEmpty()
-    one = kinds.join(large, "h", "left") if again else kinds.withColumn("large", F.lit(None).cast("boolean"))
+    one = kinds.join(large, "h", "left")
     one = one.groupBy(F.col("at.a").alias("a"), F.col("at.b").alias("b")).agg(
         F.collect_list(F.struct("h", "g", "n", "large", "at.start", "at.len")).alias("own"))  # stretches of one text
     bodies = texts.select("a", "b", "body").join(one, ["a", "b"]).select(F.explode(F.transform("own", lambda x: F.struct(
         x["h"].alias("h"), x["g"].alias("g"), x["n"].alias("n"), x["large"].alias("large"),
         F.substring(F.col("body"), (x["start"] + 1).cast("int"), x["len"]).alias("body")))).alias("x")).select("x.*")
-    if again:
-        bodies = cut(bodies)
+    bodies = cut(bodies) if again else bodies
     tasks = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    small = bodies.filter("large is null") if again else bodies
+    small = bodies.filter("large is null") if not last else bodies
     ranges = small.select("h", "g", "n", "body").repartition(tasks, "h").sortWithinPartitions("h", "g").mapInArrow(
         _scan(min_len, groups), "h bigint, g bigint, lo bigint, hi bigint, repeat bigint")
     if again:

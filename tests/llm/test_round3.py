@@ -7,7 +7,7 @@ from collections import Counter, defaultdict
 
 import pytest
 
-from fleetsieve.llm import divergence, lexical, repeats
+from fleetsieve.llm import divergence, language_id, lexical, mixing, repeats
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, h string, n double, rank int, item string"
 
@@ -45,7 +45,7 @@ def passages(seed, docs=60):
     return [(i, t, "en", "s") for i, t in rows]
 
 
-@pytest.mark.parametrize("size, heavy", [(20, 256), (20, 2), (33, 1)])
+@pytest.mark.parametrize("size, heavy", [(20, 1 << 17), (20, 30), (33, 1)])
 def test_repeats_are_removed_as_by_all_windows(spark, size, heavy):
     rows = passages(size)
     found = repeats.remove_repeats(table(spark, rows), min_len=size, heavy=heavy).collect()
@@ -207,3 +207,20 @@ def test_more_than_64_terms_take_two_words_of_a_mask():
         whole[d] += g
     found, scores = lexical.best_of_chunk(postings, 300, 1, 10)
     assert (whole[found] == scores).all() and set(np.argsort(-whole, kind="stable")[:10]) <= set(found)
+
+
+def test_a_walk_takes_few_jobs_whatever_the_sizes(spark):
+    sizes = [x for i in range(12) for x in (1, 12 - i)]
+    docs = spark.createDataFrame([(i, "w " * n, "a") for i, n in enumerate(sizes)], "doc_id bigint, text string, source string")
+    spark.sparkContext.setJobGroup("walk", "walk")
+    plan = mixing.plan_mix(docs, share=12 / sum(sizes)).toPandas()
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("walk")) < 120
+    taken = plan[plan.shards.map(len) > 0]
+    left = 12 - taken["size"].sum()
+    assert abs(left) <= 1 and plan.shards.map(len).max() == 1
+
+
+def test_an_unlabelled_corpus_is_kept(spark):
+    rows = [(1, "some words", None, "s"), (2, "42", None, "s"), (3, None, None, "s"), (4, "more words", None, "s")]
+    assert {r["doc_id"] for r in language_id.known_language(table(spark, rows)).collect()} == {1, 4}
