@@ -26,7 +26,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from fleetsieve.llm.common import fresh
 from fleetsieve.session import cut
@@ -258,6 +258,18 @@ def spread_join(rows: DataFrame, lookup: DataFrame, keys: list[str], count: str,
     return marked.join(opened, [*keys, "salt"]).drop("salt")
 
 
+def _joined(ranges: Column) -> Column:
+    """An array of ranges (lo, hi, repeat) with those that overlap or touch made one."""
+    kind = "array<struct<lo:bigint,hi:bigint,repeat:bigint>>"
+
+    def step(done, x):
+        last = F.get(done, F.size(done) - 1)
+        longer = F.struct(last["lo"].alias("lo"), F.greatest(last["hi"], x["hi"]).alias("hi"), last["repeat"].alias("repeat"))
+        return F.when(x["lo"] <= last["hi"], F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(longer))).otherwise(F.concat(done, F.array(x))).cast(kind)
+
+    return F.aggregate(F.sort_array(ranges), F.array().cast(kind), step)
+
+
 def repeated_ranges(texts: DataFrame, min_len=MIN_LEN, heavy=HEAVY, groups=False, level=0) -> DataFrame:
     """texts (a, b, body, n) with two longs that name a text -> (a, b, lo, hi, repeat), see `_scan`."""
     gram = max(1, min(min_len, round(min_len * GRAMS[level])))
@@ -286,7 +298,8 @@ def repeated_ranges(texts: DataFrame, min_len=MIN_LEN, heavy=HEAVY, groups=False
         more = bodies.filter("large").select(F.col("h").alias("a"), F.col("g").alias("b"), "body", "n").dropDuplicates(["a", "b"])
         more = repeated_ranges(more, min_len, heavy, groups, level + 1)
         ranges = ranges.unionByName(more.select(F.col("a").alias("h"), F.col("b").alias("g"), "lo", "hi", "repeat"))
-    own = cut(ranges.groupBy("h", "g").agg(F.collect_list(F.struct("lo", "hi", "repeat")).alias("ranges")))  # of one stretch
+    listed = F.collect_list(F.struct("lo", "hi", "repeat"))  # of one stretch
+    own = cut(ranges.groupBy("h", "g").agg((listed if groups else _joined(listed)).alias("ranges")))
     own = own.join(kinds.select("h", "g", "rows"), ["h", "g"])
     return spread_join(placed.select("a", "b", "start", "h", "g"), own, ["h", "g"], "rows").select("a", "b", F.explode(F.transform("ranges", lambda x: F.struct(
         (F.col("start") + x["lo"]).alias("lo"), (F.col("start") + x["hi"]).alias("hi"), x["repeat"].alias("repeat")))).alias("x")).select("a", "b", "x.*")
