@@ -4,9 +4,13 @@ A scanner cuts a page into blocks at block-level tags. First each block is judge
 stands in a navigation, header, footer, sidebar, notice, advert, form or comment section, or mostly
 in links, is boilerplate; long blocks with many stop words are text; long ones with hardly any are
 boilerplate. Short blocks and those in between stay open and, in a second pass, take the label of the
-nearest decided blocks around them. Where no block has enough stop words, all long blocks that aren't
-mostly links are text, and blocks of links label no others. An <article> or <main> bounds the text:
-blocks outside of it are never text, and inside of it stop words only count in favour of a block.
+nearest decided blocks around them. A section is named by the last word of a whole class or id ("post-comments",
+but not "search-engine-article"); a form that holds most of the text of a page, or a named section that does while
+nothing long stands outside of it, is a container of the page. A section without its end tag ends where an article
+or a further section begins. Where no block has enough stop words, all long blocks that aren't
+mostly links are text, and blocks of links label no others. An <article> or <main> that holds the text (not a teaser with
+less than half as much as there is outside) bounds it: blocks outside of it are never text, and inside of it
+stop words only count in favour of a block.
 """
 import html
 import re
@@ -18,9 +22,18 @@ from pyspark.sql import DataFrame, functions as F
 SKIPPED = "script style noscript template textarea select datalist option button svg math iframe object canvas title".split()
 RAW = set("script style textarea iframe title option".split())
 BLOCKS = set("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
+SECTIONS = set("article main section h1".split())
+MAINS = set("article main h1".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 ASIDE = set("nav footer aside form menu dialog".split())
-NAMED = re.compile(r"(?:^|[\s_-])(?:ads?|advert(?:isement|ising|s)?|banner|sponsor(?:ed)?|promo|sidebar|side-bar|menu|nav(?:bar|igation)?|breadcrumbs?|footer|masthead|cookies?|consent|gdpr|notice|popup|modal|newsletter|subscribe|share|sharing|social|related|recommended|comments?|replies|disqus|discussion|form|login|signup|search|pagination|widget|copyright)(?:$|[\s_-])", re.I)
+NAMED = set("""ad ads advert advertisement advertising adverts banner sponsor sponsored promo sidebar menu nav navbar navigation
+breadcrumb breadcrumbs footer masthead cookie cookies consent gdpr notice popup modal newsletter subscribe share sharing social related
+recommended comment comments replies disqus discussion form login signup search pagination widget copyright""".split())
+SPOKEN = set("comment comments replies disqus discussion cookie cookies consent gdpr".split())  # these never name a container
+PLAIN = set("bar box buttons button list links link section container wrapper wrap area block inner panel left right top bottom slot unit item items bottom toggle".split())
+STATES = set("has no with without is".split())
+POSTS = set("post entry hentry story article blog-post post-content entry-content article-content post-body article-body".split())
+OPTIONAL = set("p li dt dd tr td th tbody thead tfoot caption".split())  # elements whose end tag may be left out
 ROLES = set("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 STOP = set("""the of and to a in is that it for was with be as on are by at this from or an not have but they you which were
 de la le les et des en du un une est que dans pour qui sur pas au par il se ce avec plus sont ou son
@@ -36,27 +49,60 @@ HINT = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:"([
 LETTERS = re.compile(r"[^\W\d_]+")
 
 
-def _aside(name: str, attributes: str) -> bool:
-    if name in ASIDE:
-        return True
+def _named(value: str) -> str:
+    """The word by which one of the names of a class or id says that this isn't the text, or ''."""
+    for name in value.lower().replace("side-bar", "sidebar").split():
+        words = [w for w in re.split(r"[_-]+", name) if w]
+        if STATES.intersection(words[:-1]):
+            continue
+        while len(words) > 1 and (words[-1] in PLAIN or words[-1].isdigit()):
+            words.pop()
+        if words and words[-1] in NAMED:
+            return words[-1]
+    return ""
+
+
+def _aside(name: str, attributes: str) -> str:
+    """Why an element isn't text: "tag", "form", "name" (of a class, id or role), "spoken" (a name that can't be that of a container) or ''."""
+    why = "form" if name == "form" else "tag" if name in ASIDE else ""
     for key, a, b, c in HINT.findall(attributes) if attributes else ():
         value, key = a or b or c, key.lower()
-        if key in ("class", "id") and NAMED.search(value) and name not in ("body", "html", "article", "main"):
-            return True
-        if key == "role" and value.lower() in ROLES or key == "hidden" or key == "aria-hidden" and value.lower() == "true":
-            return True
-        if key == "style" and re.search(r"display\s*:\s*none", value, re.I):
-            return True
-    return False
+        if key in ("class", "id") and name not in ("body", "html", "article", "main"):
+            word = _named(value)
+            if word:
+                why = "spoken" if word in SPOKEN else why or "name"
+        if key == "role" and value.lower() in ROLES:
+            why = why or "name"
+        if key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and re.search(r"display\s*:\s*none", value, re.I):
+            return "spoken"
+    return why
+
+
+def _post(attributes: str) -> bool:
+    return any(key.lower() in ("class", "id") and POSTS.intersection((a or b or c).lower().split()) for key, a, b, c in HINT.findall(attributes))
 
 
 def blocks(page: str) -> list[tuple[str, int, bool, int]]:
     """(text, characters in links, stands aside, number of the article it is in or 0) in page order."""
     out, parts, linked = [], [], 0
-    open_, aside, links, articles, article = [], 0, 0, 0, 0
+    open_, links, posts, articles, article = [], 0, 0, 0, 0
+    asides, aside = [[-1, "", 0.0, 0, False]], 0  # of each: the one around it, why, first block past it, characters, holds an article
     at, size = 0, len(page)
     endless = set()
 
+    def shut(element, ended):
+        """Takes the element off; an aside that ends without its end tag ends at the section seen in it, if any."""
+        nonlocal aside, links, posts, article
+        name, own, main, post, bound = element
+        links -= name == "a"
+        posts -= post
+        if main:
+            article = 0
+        if own:
+            aside = asides[own][0]
+            if not ended and name not in OPTIONAL and asides[own][1] != "spoken" and bound[0] is not None:
+                asides[own][2] = bound[0]
+
     def add(text):
         nonlocal linked
         if "&" in text:
@@ -69,7 +115,7 @@ def blocks(page: str) -> list[tuple[str, int, bool, int]]:
         nonlocal parts, linked
         text = " ".join("".join(parts).split())
         if text:
-            out.append((text, linked, aside > 0, article))
+            out.append((text, linked, aside, article))
         parts, linked = [], 0
 
     while at < size:
@@ -105,37 +151,84 @@ def blocks(page: str) -> list[tuple[str, int, bool, int]]:
         if not found["close"]:
             if name == "p" and open_ and any(x[0] == "p" for x in open_[-3:]):  # a new paragraph ends the last
                 while open_[-1][0] != "p" and open_[-1][0] not in BLOCKS:
-                    links -= open_[-1][0] == "a"
-                    aside -= open_.pop()[1]
+                    shut(open_.pop(), True)
                 if open_[-1][0] == "p":
-                    aside -= open_.pop()[1]
-            # The header of an article holds its title; any other one is the page's.
-            off = _aside(name, found["attributes"]) or name == "header" and not article
-            main = name in ("article", "main") and not article and not aside and not off
+                    shut(open_.pop(), True)
+            if aside and (name in SECTIONS or name == "p"):
+                for x in open_[-64:]:
+                    if x[1] and x[4][0] is None and (name != "p" or x[0] in ("nav", "menu")):
+                        x[4][0] = len(out)
+            if name in MAINS:
+                held = aside
+                while held and not asides[held][4]:
+                    asides[held][4] = True
+                    held = asides[held][0]
+            why = _aside(name, found["attributes"])
+            # The header of an article or post holds its title; any other one is the page's.
+            if not why and name == "header" and not article and not posts:
+                why = "tag"
+            own = 0
+            if why:
+                asides.append([aside, why, float("inf"), 0, False])
+                own = aside = len(asides) - 1
+            main = name in ("article", "main") and not article and not why
             if main:
                 articles += 1
                 article = articles
-            open_.append((name, off, main))
-            aside += off
+            post = not why and name in BLOCKS and _post(found["attributes"])
+            open_.append((name, own, main, post, [None]))
             links += name == "a"
+            posts += post
         else:
             depth = next((i for i in range(len(open_) - 1, -1, -1) if open_[i][0] == name), None)
             if depth is None or name not in BLOCKS and any(x[0] in BLOCKS for x in open_[depth + 1:]):
                 continue
-            for x in open_[depth:]:
-                aside -= x[1]
-                links -= x[0] == "a"
-                if x[2]:
-                    article = 0
-            del open_[depth:]
+            while len(open_) > depth:
+                shut(open_.pop(), len(open_) == depth)
     close_block()
-    return out
+    while open_:
+        shut(open_.pop(), False)
+    return [(text, linked, stands, part) for (text, linked, _, part), stands in zip(out, _stands(out, asides))]
+
+
+def _stands(found, asides, long=70) -> list[bool]:
+    """Whether each block stands aside, once the containers of the whole page are told from sections of it."""
+    solid = [max(0, len(text.replace(" ", "")) - linked) for text, linked, _, _ in found]
+    for (_, _, aside, _), n in zip(found, solid):
+        asides[aside][3] += n
+    for x in reversed(asides[1:]):
+        asides[x[0]][3] += x[3]
+    half = sum(solid) / 2
+
+    def judge():
+        reach = [0]
+        for around, _, end, _, _ in asides[1:]:
+            reach.append(max(end, reach[around]))
+        return [i < reach[aside] for i, (_, _, aside, _) in enumerate(found)]
+
+    for x in asides[1:]:
+        if x[1] == "form" and x[3] > half:
+            x[2] = 0
+    stands = judge()
+    outside = [len(text) for (text, linked, _, _), off, n in zip(found, stands, solid) if not off and n > linked]
+    if not outside or max(outside) < long:
+        for x in asides[1:]:
+            if x[1] == "name" and x[3] > half and (x[4] or not outside):
+                x[2] = 0
+        stands = judge()
+    return stands
 
 
 def main_text(page: str, long=70, many=0.25, few=0.1, linked=0.5) -> str:
     """The text blocks of a page, two line ends between them."""
     found = blocks(page)
-    bounded = any(article and not aside for _, _, aside, article in found)
+    held = [0, 0]  # characters of long blocks outside of articles and in them
+    for text, links, aside, article in found:
+        if not aside and len(text) >= long and links <= linked * len(text.replace(" ", "")):
+            held[article > 0] += len(text)
+    bounded = any(article and not aside for _, _, aside, article in found) and held[0] <= 2 * held[1]
+    if not bounded:
+        found = [(text, links, aside, 0) for text, links, aside, _ in found]
     labels, barren, listing = [], set(), set()
     for i, (text, links, aside, article) in enumerate(found):
         solid = len(text.replace(" ", ""))
