@@ -16,20 +16,24 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from fleetsieve.session import cut, scratch
 
 CELLS = 256
-LIMIT = float(1 << 26)
+LIMIT = float(1 << 53)
+LONG = (1 << 63) - 1
 
 
 def integers(vector: Column, scale=1024) -> Column:
-    """floor(scale * x) of each component, as array<bigint>; null for a vector that is null, has a null
-    or non-finite component, or one beyond +-2^26 after scaling (an inner product must fit a long)."""
-    scaled = F.transform(vector, lambda x: F.floor(x.cast("double") * scale))
-    sound = F.forall(vector, lambda x: F.coalesce(x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) * scale < LIMIT), F.lit(False)))
+    """floor(scale * x) of each component, as array<bigint>; null for a vector that is null or has a null or
+    non-finite component. A finite one of 2^53 or more after scaling, where doubles are no longer exact integers
+    and sums of products may not fit 38 digits, is an error: no finite vector is left out in silence."""
+    size = lambda x: F.abs(x.cast("double")) * scale
+    scaled = F.transform(vector, lambda x: F.when(size(x) < LIMIT, F.floor(x.cast("double") * scale)).otherwise(
+        F.raise_error(F.lit("a vector component is beyond 2^53 after scaling")).cast("bigint")))
+    sound = F.forall(vector, lambda x: F.coalesce(x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < float("inf")), F.lit(False)))
     return F.when(sound, scaled)
 
 
 def build(vectors: DataFrame, vec_id="vec_id", vector="embedding", scale=1024, copies=11) -> tuple[DataFrame, DataFrame, tuple]:
     """(approximations, exact vectors, grid): a written table (row, vec_id, code), the rows with exact
-    integers, and least value and cell width of each dimension. Shorter vectors count as padded with
+    integers, and least value, cell width and largest magnitude of each dimension. Shorter vectors count as padded with
     zeros; `row` tells rows with equal ids apart. Of equal vectors only the `copies` smallest ids are
     coded: for k results ties beyond the (k + 1)-th can't win, one of them being the query itself."""
     spark = vectors.sparkSession
@@ -40,6 +44,7 @@ def build(vectors: DataFrame, vec_id="vec_id", vector="embedding", scale=1024, c
     edges = padded.select(F.posexplode("exact").alias("dim", "x")).groupBy("dim").agg(F.min("x").alias("lo"), F.max("x").alias("hi")).orderBy("dim").collect() if width else []
     lo = np.array([e["lo"] for e in edges], np.int64)
     step = np.array([max(1, -(-(e["hi"] - e["lo"] + 1) // CELLS)) for e in edges], np.int64)
+    peak = np.array([max(abs(e["lo"]), abs(e["hi"])) for e in edges], float)
 
     def code(batches):
         for b in batches:
@@ -53,16 +58,19 @@ def build(vectors: DataFrame, vec_id="vec_id", vector="embedding", scale=1024, c
     tied = F.row_number().over(Window.partitionBy("exact").orderBy("vec_id", "row"))
     kept = padded.withColumn("nth", tied).filter(F.col("nth") <= copies)
     kept.select("row", "vec_id", "exact").mapInArrow(code, f"row bigint, vec_id {kind}, code binary").write.parquet(folder)
-    return spark.read.parquet(folder), padded, (lo, step)
+    return spark.read.parquet(folder), padded, (lo, step, peak)
 
 
 def _bounds(codes: DataFrame, ids: np.ndarray, queries: np.ndarray, grid, k: int, kind: str) -> DataFrame:
-    """(query_row, row, low, high) of the candidates that a task can't rule out."""
-    lo, step = grid
+    """(query_row, row, low, high) of the candidates that a task can't rule out. The k-th best lower bound of each
+    query is carried through the task. Bounds are widened by what the sums of doubles may be off."""
+    lo, step, peak = grid
     mid = lo + (step - 1) / 2.0
-    slack = np.abs(queries) @ ((step - 1) / 2.0)  # of every bound of a query
+    rounding = (len(lo) + 8) * 2.0 ** -51 * (np.abs(queries) @ (peak + step))
+    slack = np.abs(queries) @ ((step - 1) / 2.0) + rounding  # of every bound of a query
 
     def run(batches):
+        best = np.full((len(ids), k), -np.inf)
         for b in batches:
             for at in range(0, b.num_rows, 4096):
                 part = b.slice(at, 4096)
@@ -70,10 +78,8 @@ def _bounds(codes: DataFrame, ids: np.ndarray, queries: np.ndarray, grid, k: int
                 cells = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint8).reshape(len(rows), len(lo))
                 centre = queries @ (cells * step + mid).T
                 centre[ids[:, None] == rows[None, :]] = -np.inf
-                if len(rows) > k:
-                    floor = np.partition(centre, len(rows) - k, axis=1)[:, len(rows) - k] - slack
-                else:
-                    floor = np.full(len(ids), -np.inf)
+                best = np.partition(np.hstack([best, centre]), len(rows), axis=1)[:, len(rows):]  # the k largest so far
+                floor = best.min(axis=1) - slack
                 q, r = np.nonzero((centre + slack[:, None] >= floor[:, None]) & np.isfinite(centre))
                 yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(rows[r]), pa.array(centre[q, r] - slack[q]), pa.array(centre[q, r] + slack[q])], names=["query_row", "row", "low", "high"])
 
@@ -85,7 +91,9 @@ def top_k(vectors: DataFrame, is_query, vec_id="vec_id", vector="embedding", k=1
 
     `is_query` is a condition on the column vec_id. Rows that hold no sound vector take no part. Rows
     with equal ids are rows of their own, so a copy of a query under its id is a candidate for it; ties
-    of equal ids go in any order. Fewer candidates than k give fewer rows, an empty table none.
+    of equal ids go in any order. Fewer candidates than k give fewer rows, an empty table none. Ranks are
+    those of the exact scores, summed as decimals where longs might not hold them; a score beyond a long is
+    shown as the nearest long.
     """
     spark = vectors.sparkSession
     codes, exact, grid = build(vectors, vec_id, vector, scale, k + 1)
@@ -96,7 +104,11 @@ def top_k(vectors: DataFrame, is_query, vec_id="vec_id", vector="embedding", k=1
     by_bound = Window.partitionBy("query_row").orderBy(F.col("low").desc(), "row")
     by_high = Window.partitionBy("query_row").orderBy(F.col("high").desc(), "row")
     by_score = Window.partitionBy("query_row").orderBy(F.col("score").desc(), "vec_id", "row")
-    score = F.aggregate(F.zip_with("query", "exact", lambda a, b: a * b), F.lit(0).cast("bigint"), lambda a, x: a + x)
+    peak = grid[2]
+    kept = "bigint" if float(peak @ peak) < LONG / 2 else "decimal(38,0)"
+    product = (lambda a, b: a * b) if kept == "bigint" else (lambda a, b: (a.cast("decimal(19,0)") * b.cast("decimal(19,0)")).cast(kept))
+    score = F.aggregate(F.zip_with("query", "exact", product), F.lit(0).cast(kept), lambda a, x: (a + x).cast(kept))
+    shown = F.greatest(F.least("score", F.lit(LONG).cast(kept)), F.lit(-LONG).cast(kept)).cast("bigint")
 
     def scored(pairs):
         found = pairs.join(exact, "row").join(asked, "query_row")
@@ -116,7 +128,7 @@ def top_k(vectors: DataFrame, is_query, vec_id="vec_id", vector="embedding", k=1
         sure = first.groupBy("query_row").agg(F.min("score").alias("sure"), F.count("*").alias("have")).filter(F.col("have") == k)
         rest = near.filter(F.col("n") > k).join(sure, "query_row").filter("high >= sure").select("query_row", "row")
         best = first.unionByName(scored(rest)).withColumn("rank", F.row_number().over(by_score)).filter(F.col("rank") <= k)
-        out.append(best.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score"))
+        out.append(best.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", shown.alias("score")))
     if not out:
         return spark.createDataFrame([], f"query_id {kind}, rank int, vec_id {kind}, score bigint")
     folder = scratch(spark, "top-k")
