@@ -73,11 +73,13 @@ def st1(spark, sf):
 def st2(spark, sf):
     landed = scratch(spark, "landed")
     f = fleet(spark, sf)
-    f.samples.join(f.datasets.select("dataset_id", F.col("pos").cast("bigint").alias("pos")), "dataset_id").select(
-        "dataset_id", "pos", "num").write.parquet(landed)
-    stream = spark.readStream.schema("dataset_id string, pos long, num array<double>").parquet(landed)
-    pool, decisions = scratch(spark, "pool"), scratch(spark, "decisions")
-    arrivals.stream_row_hashes(stream, pool, decisions, scratch(spark, "offsets")).awaitTermination()
+    placed = f.samples.join(f.datasets.select("dataset_id", F.col("pos").cast("bigint").alias("pos")), "dataset_id")
+    # four files, read one a batch: datasets begin in one and end in another
+    placed.select("dataset_id", "pos", "num").repartitionByRange(4, "pos", F.xxhash64("num")).write.parquet(landed)
+    manifest = placed.groupBy("dataset_id", "pos").agg(F.count("*").alias("n_rows"))
+    stream = spark.readStream.schema("dataset_id string, pos long, num array<double>").option("maxFilesPerTrigger", 1).parquet(landed)
+    decisions = scratch(spark, "decisions")
+    arrivals.stream_row_hashes(stream, manifest, scratch(spark, "state"), decisions, scratch(spark, "offsets")).awaitTermination()
     return spark.read.parquet(decisions).select("dataset_id", "status", "matched")
 
 

@@ -10,7 +10,6 @@ from fleetsieve.operators import signal as G
 from fleetsieve.operators import soft_rules as S
 from fleetsieve.sources import cohorts as K
 from fleetsieve.sources import staged
-from fleetsieve.streaming.arrivals import stream_row_hashes
 
 
 def test_no_cap_keeps_all_rows(spark):
@@ -42,16 +41,6 @@ def test_numeric_classes_count_as_classes(make_fleet):
     assert S.s5_class_balance(fleet).first()["score"] > 0.999999
 
 
-def test_a_dataset_is_decided_once(spark, tmp_path):
-    schema = "dataset_id string, row_id bigint, pos int, num array<double>, txt array<string>"
-    spark.createDataFrame([("a", i, 0, [float(i)], []) for i in range(9)], schema).write.parquet(f"{tmp_path}/in")
-    for part in ("one", "two"):
-        if part == "two":
-            spark.createDataFrame([("a", 9, 0, [9.0], [])], schema).write.mode("append").parquet(f"{tmp_path}/in")
-        stream_row_hashes(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), f"{tmp_path}/pool", f"{tmp_path}/out", f"{tmp_path}/cp").awaitTermination()
-    assert spark.read.parquet(f"{tmp_path}/out").count() == 1
-
-
 def test_a_label_copy_is_trivial_and_noise_needs_no_ceiling(make_fleet):
     noise = lambda i, k: float((i * 7919 + k * 104729) % 1009)
     fleet = make_fleet({
