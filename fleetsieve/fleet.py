@@ -17,6 +17,8 @@ from dataclasses import dataclass, replace
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fleetsieve.session import written
+
 DATASET_COLUMNS = ["dataset_id", "source", "pos", "name", "task_type", "domain", "url"]
 SAMPLE_COLUMNS = ["dataset_id", "row_id", "num", "txt", "y_str", "y_num", "batch"]
 
@@ -51,14 +53,19 @@ class Fleet:
     def targets(self) -> DataFrame:
         return self.samples.select("dataset_id", "row_id", "y_str", "y_num", "batch")
 
-    def by_task(self) -> "Fleet":
+    def by_task(self, only: str | None = None) -> "Fleet":
         """Targets as the task reads them: numbers are class names in classification, numeric
-        text is a number in regression."""
+        text is a number in regression. ``only`` keeps the samples of "classification" or of
+        "regression" (without classification). The flags are written, a row per dataset: while
+        that table is small the wide samples aren't exchanged."""
         task = F.col("task_type")
         kind = self.datasets.select("dataset_id", task.contains("classification").alias("_clf"), task.contains("regression").alias("_reg"))
+        if only is not None:
+            kind = kind.where(F.col("_clf") if only == "classification" else F.col("_reg") & ~F.col("_clf"))
+        kind = written(kind, "kinds")
         label = F.coalesce("y_str", F.when(F.col("_clf"), F.col("y_num").cast("string")))
         number = F.coalesce("y_num", F.when(F.col("_reg") & ~F.col("_clf"), F.expr("try_cast(y_str AS DOUBLE)")))
-        samples = (self.samples.join(kind, "dataset_id", "left").withColumn("_label", label).withColumn("y_num", number)
+        samples = (self.samples.join(kind, "dataset_id", "left" if only is None else "inner").withColumn("_label", label).withColumn("y_num", number)
                    .withColumn("y_str", F.col("_label")).select(*self.samples.columns))
         return Fleet(self.datasets, self.features, samples)
 

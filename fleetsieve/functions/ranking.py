@@ -1,8 +1,10 @@
 """Running totals, average ranks and neighbours over groups of any size.
 
-All work on pre-aggregated distinct values with a weight. A group with more distinct
-values than ``split`` is cut into consecutive value ranges first: each range is totalled
-on its own and shifted by the ranges below it, so no task ever sorts a whole hot group.
+All work on pre-aggregated distinct values with a weight, which are written once. A group with
+more distinct values than ``split`` is cut into consecutive value ranges first: each range is
+totalled on its own and shifted by the ranges below it, so no task ever sorts a whole hot group.
+Rows move in one exchange, on (group, range); cut points and shifts exist for cut groups only, are
+written as well, and are broadcast only where their written size allows it.
 Groups of any size take this one plan. The cut points are approximate percentiles of a
 hash-chosen sample of the values, a sketch of bounded size; any cut points give the same
 exact answer.
@@ -10,53 +12,66 @@ exact answer.
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from fleetsieve.session import written
+
 CUT_POINTS = 255
 SPLIT = 100_000
 SAMPLE_STRIDE = 256
 
 
-def _with_ranges(df: DataFrame, group, value: str, split: int) -> DataFrame:
+def _with_ranges(df: DataFrame, group, value: str, split: int, stored: bool = False) -> tuple[DataFrame, DataFrame]:
+    """The rows with the ``_range`` of their value, and the cut points of the groups that are cut."""
+    rows = df if stored else written(df, "ranked")
     sampled = F.pmod(F.xxhash64(value), F.lit(SAMPLE_STRIDE)) == 0
     shares = [i / (CUT_POINTS + 1) for i in range(1, CUT_POINTS + 1)]
-    cuts = (df.groupBy(*group)
-            .agg(F.count("*").alias("_m"),
-                 F.percentile_approx(F.when(sampled, F.col(value)), F.array(*map(F.lit, shares)), F.lit(2000))
-                 .alias("_cuts"))
-            .where(F.col("_m") > split).drop("_m"))
+    cuts = written(rows.groupBy(*group)
+                   .agg(F.count("*").alias("_m"),
+                        F.percentile_approx(F.when(sampled, F.col(value)), F.array(*map(F.lit, shares)), F.lit(2000))
+                        .alias("_cuts"))
+                   .where(F.col("_m") > split).drop("_m"), "cuts")
     below = F.size(F.filter("_cuts", lambda c: c < F.col(value)))
-    return (df.join(cuts, group, "left")
-            .withColumn("_range", F.when(F.col("_cuts").isNull(), 0).otherwise(below))
-            .drop("_cuts"))
+    ranged = (rows.join(cuts, group, "left")
+              .withColumn("_range", F.when(F.col("_cuts").isNull(), 0).otherwise(below))
+              .drop("_cuts"))
+    return ranged, cuts
 
 
-def running_total(df: DataFrame, group, value: str, weight: str, out: str,
-                  split: int = SPLIT, descending: bool = False) -> DataFrame:
-    """``out`` = weight of all values up to and including this one; ties move together."""
-    group = list(group)
+def _totalled(df: DataFrame, group, value: str, weights: dict, split: int, descending: bool,
+              stored: bool = False) -> DataFrame:
+    """:func:`running_total` with the ``_range`` of each row."""
     order = F.col(value).desc() if descending else F.col(value).asc()
-    ranged = _with_ranges(df, group, value, split)
-    totals = ranged.groupBy(*group, "_range").agg(F.sum(weight).alias("_w"))
+    ranged, cuts = _with_ranges(df, group, value, split, stored)
+    totals = (ranged.join(cuts.select(*group), group, "left_semi")
+              .groupBy(*group, "_range").agg(*[F.sum(w).alias(f"_of_{out}") for w, out in weights.items()]))
     place = F.col("_range").desc() if descending else F.col("_range").asc()
     before = (Window.partitionBy(*group).orderBy(place)
               .rowsBetween(Window.unboundedPreceding, -1))
-    shifts = totals.select(*group, "_range",
-                           F.coalesce(F.sum("_w").over(before), F.lit(0)).alias("_shift"))
+    shifts = written(totals.select(*group, "_range", *[F.sum(f"_of_{out}").over(before).alias(f"_below_{out}") for out in weights.values()]), "shifts")
     inside = (Window.partitionBy(*group, "_range").orderBy(order)
               .rangeBetween(Window.unboundedPreceding, 0))
-    return (ranged.withColumn(out, F.sum(weight).over(inside))
-            .join(shifts, [*group, "_range"])
-            .withColumn(out, F.col(out) + F.col("_shift")).drop("_shift", "_range"))
+    moved = {out: F.col(out) + F.coalesce(f"_below_{out}", F.lit(0)) for out in weights.values()}
+    return (ranged.withColumns({out: F.sum(w).over(inside) for w, out in weights.items()})
+            .join(shifts, [*group, "_range"], "left")
+            .withColumns(moved).drop(*[f"_below_{out}" for out in weights.values()]))
+
+
+def running_total(df: DataFrame, group, value: str, weight, out,
+                  split: int = SPLIT, descending: bool = False, stored: bool = False) -> DataFrame:
+    """``out`` = weight of all values up to and including this one; ties move together.
+    Lists in ``weight`` and ``out`` total several weights in the same pass.
+    ``stored``: ``df`` reads a written table already and isn't written again."""
+    weights = {weight: out} if isinstance(weight, str) else dict(zip(weight, out))
+    return _totalled(df, list(group), value, weights, split, descending, stored).drop("_range")
 
 
 def average_rank(df: DataFrame, group, value: str, weight: str, out: str,
                  split: int = SPLIT) -> DataFrame:
     """Average rank of each value when every row counts ``weight`` times."""
-    group = list(group)
-    totalled = running_total(df, group, value, weight, "_upto", split)
-    ties = Window.partitionBy(*group, value)
+    totalled = _totalled(df, list(group), value, {weight: "_upto"}, split, False)
+    ties = Window.partitionBy(*group, "_range", value)  # equal values share a range: no second exchange
     return (totalled.withColumn("_ties", F.sum(weight).over(ties))
             .withColumn(out, (F.col("_upto") * 2 - F.col("_ties") + 1) / 2.0)
-            .drop("_upto", "_ties"))
+            .drop("_upto", "_ties", "_range"))
 
 
 def with_neighbours(df: DataFrame, group, value: str, columns, split: int = SPLIT,
@@ -64,7 +79,7 @@ def with_neighbours(df: DataFrame, group, value: str, columns, split: int = SPLI
     """Adds ``before_<c>`` and ``after_<c>``: the columns of the rows next to this one in the
     order of ``value``, which is distinct in a group; NULL beyond the ends."""
     group = list(group)
-    ranged = _with_ranges(df, group, value, split)
+    ranged, _ = _with_ranges(df, group, value, split)
     way = (lambda c: F.col(c).desc()) if descending else (lambda c: F.col(c).asc())
     row = F.struct(*columns)
     low, high = F.min_by(row, value), F.max_by(row, value)

@@ -12,7 +12,7 @@ from fleetsieve import values as V
 from fleetsieve.fleet import Fleet
 from fleetsieve.functions.ranking import SPLIT, running_total
 from fleetsieve.functions.stats import ratio
-from fleetsieve.session import cut
+from fleetsieve.session import cut, written
 
 PROBE_BLOCK = 512
 
@@ -63,8 +63,9 @@ def interleave(candidates: DataFrame, split: int = SPLIT) -> DataFrame:
 
     A turn is counted, not sorted: rank inside the source plus, for earlier rounds, how
     many candidates every other source contributed. Only per-source totals are compared."""
+    candidates = written(candidates, "candidates")
     ranked = running_total(candidates.withColumn("_one", F.lit(1)), ["source"], "pos", "_one",
-                           "round", split).drop("_one")
+                           "round", split, stored=True).drop("_one")
     totals = candidates.groupBy("source").agg(F.count("*").alias("size"), F.min("pos").alias("first"))
     seats = totals.agg(F.array_sort(F.collect_list(F.struct("first", "size"))).alias("seats"))
     joined = (ranked.join(totals.select("source", "first"), "source").crossJoin(F.broadcast(seats)))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from fleetsieve.functions.ranking import SPLIT, running_total, with_neighbours
 from fleetsieve.functions.stats import normal_quantile, ratio
+from fleetsieve.session import written
 
 # Fixed value: smallest denominator of the relative error.
 EPSILON = 2.220446049250313e-16
@@ -92,17 +93,16 @@ def average_precision(scores: DataFrame, split: int = SPLIT) -> DataFrame:
         F.avg(F.coalesce(ratio(F.col("s"), F.col("p")), F.lit(0.0))).alias("pr_auc"))
 
 
-def _cumulated(scores: DataFrame, split):
-    counts = threshold_counts(scores).withColumn("n", F.col("pos") + F.col("neg"))
-    keys = ["dataset_id", "cls"]
-    cum = running_total(counts, keys, "score", "pos", "tp", split, descending=True)
-    return running_total(cum, keys, "score", "n", "seen", split, descending=True)
+def _cumulated(counts: DataFrame, split):
+    counts = counts.withColumn("n", F.col("pos") + F.col("neg"))
+    return running_total(counts, ["dataset_id", "cls"], "score", ["pos", "n"], ["tp", "seen"], split, descending=True, stored=True)
 
 
 def pr_points(scores: DataFrame, split: int = SPLIT) -> DataFrame:
     """dataset_id, cls, score, pos, precision, recall at every distinct threshold."""
-    totals = threshold_counts(scores).groupBy("dataset_id", "cls").agg(F.sum("pos").alias("all_pos"))
-    return _cumulated(scores, split).join(totals, ["dataset_id", "cls"]).select(
+    counts = written(threshold_counts(scores), "thresholds")
+    totals = counts.groupBy("dataset_id", "cls").agg(F.sum("pos").alias("all_pos"))
+    return _cumulated(counts, split).join(totals, ["dataset_id", "cls"]).select(
         "dataset_id", "cls", "score", "pos", ratio(F.col("tp"), F.col("seen")).alias("precision"),
         F.coalesce(ratio(F.col("tp"), F.col("all_pos")), F.lit(1.0)).alias("recall"))
 
@@ -110,9 +110,10 @@ def pr_points(scores: DataFrame, split: int = SPLIT) -> DataFrame:
 def roc_points(scores: DataFrame, split: int = SPLIT, drop_intermediate: bool = True) -> DataFrame:
     """dataset_id, cls, score, fpr, tpr; points on a straight line between their neighbours
     are left out, and the origin is the point with no score."""
-    totals = threshold_counts(scores).groupBy("dataset_id", "cls").agg(
+    counts = written(threshold_counts(scores), "thresholds")
+    totals = counts.groupBy("dataset_id", "cls").agg(
         F.sum("pos").alias("all_pos"), F.sum("neg").alias("all_neg"))
-    cum = _cumulated(scores, split).select("dataset_id", "cls", "score", "tp", (F.col("seen") - F.col("tp")).alias("fp"))
+    cum = _cumulated(counts, split).select("dataset_id", "cls", "score", "tp", (F.col("seen") - F.col("tp")).alias("fp"))
     if drop_intermediate:
         near = with_neighbours(cum, ["dataset_id", "cls"], "score", ["tp", "fp"], split, descending=True)
         bend = lambda c: (F.col(f"after_{c}") - F.col(c)) - (F.col(c) - F.col(f"before_{c}"))
@@ -129,8 +130,9 @@ def median_error(preds: DataFrame, split: int = SPLIT) -> DataFrame:
     """dataset_id, median_ae: the middle absolute error, or the mean of the two in the middle."""
     counted = (preds.select("dataset_id", F.abs(F.col("yhat") - F.col("y")).alias("e")).where("e is not null")
                .groupBy("dataset_id", "e").agg(F.count("*").alias("w")))
+    counted = written(counted, "errors")
     sizes = counted.groupBy("dataset_id").agg(F.sum("w").alias("n"))
-    cum = running_total(counted, ["dataset_id"], "e", "w", "upto", split).join(sizes, "dataset_id")
+    cum = running_total(counted, ["dataset_id"], "e", "w", "upto", split, stored=True).join(sizes, "dataset_id")
     at = lambda place: F.min(F.when(F.col("upto") >= place, F.col("e")))
     return cum.groupBy("dataset_id").agg(
         ((at(F.floor((F.col("n") + 1) / 2)) + at(F.floor(F.col("n") / 2) + 1)) / 2.0).alias("median_ae"))
@@ -184,8 +186,8 @@ def qq_points(res: DataFrame, split: int = SPLIT) -> DataFrame:
     """dataset_id, place, theoretical, residual, slope, intercept: ordered residuals against
     normal quantiles at the order-statistic medians, with the least-squares line."""
     sizes = res.groupBy("dataset_id").agg(F.count("*").alias("n"))
-    counted = res.groupBy("dataset_id", "residual").agg(F.count("*").alias("w"))
-    cum = running_total(counted, ["dataset_id"], "residual", "w", "upto", split)
+    counted = written(res.groupBy("dataset_id", "residual").agg(F.count("*").alias("w")), "residuals")
+    cum = running_total(counted, ["dataset_id"], "residual", "w", "upto", split, stored=True)
     n = F.col("n")
     placed = cum.join(sizes, "dataset_id").withColumn(
         "place", F.explode(F.sequence(F.col("upto") - F.col("w") + 1, F.col("upto"))))

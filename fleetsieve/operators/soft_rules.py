@@ -9,6 +9,7 @@ from fleetsieve.fleet import Fleet
 from fleetsieve.functions.ranking import average_rank
 from fleetsieve.functions.stats import clamp01, ratio
 from fleetsieve.operators import profile as P
+from fleetsieve.session import written
 
 BLOCK = 2048
 
@@ -134,9 +135,8 @@ def _with_means(counts: DataFrame, profile: DataFrame, k: int) -> DataFrame:
 
 def auc_per_feature(fleet: Fleet, profile: DataFrame, k: int | None = None) -> DataFrame:
     """Per column the most extreme one-vs-rest AUC over classes as 2*min(AUC, 1-AUC)."""
-    wanted = fleet.datasets.where(F.col("task_type").contains("classification")).select("dataset_id")
-    fleet = fleet.by_task()
-    cells = fleet.numeric_cells("y_str").where(F.col("y_str").isNotNull()).join(wanted, "dataset_id", "left_semi")
+    fleet = fleet.by_task("classification")
+    cells = fleet.numeric_cells("y_str").where(F.col("y_str").isNotNull())
     counts = cells.groupBy("dataset_id", "feat_id", "num", "y_str").agg(F.count("*").alias("w"))
     counts = _with_means(counts, profile, k)
     ranked = average_rank(counts, ["dataset_id", "feat_id"], "v", "w", "rank")
@@ -154,13 +154,10 @@ def auc_per_feature(fleet: Fleet, profile: DataFrame, k: int | None = None) -> D
 
 def spearman_per_feature(fleet: Fleet, profile: DataFrame, k: int | None = None) -> DataFrame:
     """Per column 1 - |rank correlation with a numeric target|, 1 when undefined."""
-    wanted = (fleet.datasets.where(F.col("task_type").contains("regression")
-                                   & ~F.col("task_type").contains("classification"))
-              .select("dataset_id"))
-    fleet = fleet.by_task()
+    fleet = fleet.by_task("regression")
     targets = (fleet.samples.select("dataset_id", "y_num").where(F.col("y_num").isNotNull())
-               .join(wanted, "dataset_id", "left_semi").groupBy("dataset_id", "y_num").agg(F.count("*").alias("w")))
-    ry = average_rank(targets, ["dataset_id"], "y_num", "w", "ry")
+               .groupBy("dataset_id", "y_num").agg(F.count("*").alias("w")))
+    ry = written(average_rank(targets, ["dataset_id"], "y_num", "w", "ry"), "target-ranks")
     w, x, y = F.col("w"), F.col("rx"), F.col("ry")
     totals = ry.groupBy("dataset_id").agg(F.sum("w").alias("n"), F.sum(w * y).alias("sy"), F.sum(w * y * y).alias("syy"))
     # the target is ranked once per dataset, so a cell only adds its target rank to the sum of
@@ -180,6 +177,7 @@ def spearman_per_feature(fleet: Fleet, profile: DataFrame, k: int | None = None)
 
 
 def feature_stats(fleet: Fleet, profile: DataFrame, k: int | None = None) -> DataFrame:
+    profile = written(profile, "profile")
     return auc_per_feature(fleet, profile, k).unionByName(spearman_per_feature(fleet, profile, k))
 
 
