@@ -9,7 +9,7 @@ Groups of any size take this one plan. The cut points are approximate percentile
 hash-chosen sample of the values, a sketch of bounded size; any cut points give the same
 exact answer.
 """
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetsieve.session import written
@@ -19,17 +19,22 @@ SPLIT = 100_000
 SAMPLE_STRIDE = 256
 
 
+def _below(cuts: Column, value: Column) -> Column:
+    """How many of the sorted ``cuts``, at most CUT_POINTS, are below ``value``: a binary search."""
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(CUT_POINTS.bit_length()))])
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(cuts, at + step - 1) < value, at + step).otherwise(at))
+
+
 def _with_ranges(df: DataFrame, group, value: str, split: int, stored: bool = False) -> tuple[DataFrame, DataFrame]:
     """The rows with the ``_range`` of their value, and the cut points of the groups that are cut."""
     rows = df if stored else written(df, "ranked")
     sampled = F.pmod(F.xxhash64(value), F.lit(SAMPLE_STRIDE)) == 0
     shares = [i / (CUT_POINTS + 1) for i in range(1, CUT_POINTS + 1)]
-    cuts = written(rows.groupBy(*group)
-                   .agg(F.count("*").alias("_m"),
-                        F.percentile_approx(F.when(sampled, F.col(value)), F.array(*map(F.lit, shares)), F.lit(2000))
-                        .alias("_cuts"))
-                   .where(F.col("_m") > split).drop("_m"), "cuts")
-    below = F.size(F.filter("_cuts", lambda c: c < F.col(value)))
+    large = rows.groupBy(*group).agg(F.count("*").alias("_m")).where(F.col("_m") > split).drop("_m")
+    points = rows.where(sampled).groupBy(*group).agg(
+        F.percentile_approx(value, F.array(*map(F.lit, shares)), F.lit(2000)).alias("_cuts"))
+    cuts = written(large.join(points, group, "left"), "cuts")
+    below = _below(F.col("_cuts"), F.col(value))
     ranged = (rows.join(cuts, group, "left")
               .withColumn("_range", F.when(F.col("_cuts").isNull(), 0).otherwise(below))
               .drop("_cuts"))
