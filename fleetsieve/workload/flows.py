@@ -6,7 +6,7 @@ from fleetsieve.functions.stats import r6 as R
 from fleetsieve.operators import metadata_rules as M
 from fleetsieve.operators import weights as W
 from fleetsieve.plans import curation
-from fleetsieve.session import scratch
+from fleetsieve.session import scratch, written
 from fleetsieve.sources import sinks
 from fleetsieve.sources import staged
 from fleetsieve.streaming import arrivals
@@ -69,15 +69,24 @@ def st1(spark, sf):
     return spark.read.parquet(out).select("dataset_id", "rule", "passed", "reason")
 
 
+FILE_ROWS = 1_000_000
+
+
+def batch_files(rows, batches=4):
+    """Files of one of ``batches``, so that one holds about ``FILE_ROWS`` at most."""
+    return max(1, -(-rows // (batches * FILE_ROWS)))
+
+
 @query("st2_stream_row_hashes", "SELECT dataset_id, status, matched FROM (" + greedy("FALSE") + ")")
 def st2(spark, sf):
     landed = scratch(spark, "landed")
     f = fleet(spark, sf)
     placed = f.samples.join(f.datasets.select("dataset_id", F.col("pos").cast("bigint").alias("pos")), "dataset_id")
-    # four files, read one a batch: datasets begin in one and end in another
-    placed.select("dataset_id", "pos", "num").repartitionByRange(4, "pos", F.xxhash64("num")).write.parquet(landed)
-    manifest = placed.groupBy("dataset_id", "pos").agg(F.count("*").alias("n_rows"))
-    stream = spark.readStream.schema("dataset_id string, pos long, num array<double>").option("maxFilesPerTrigger", 1).parquet(landed)
+    manifest = written(placed.groupBy("dataset_id", "pos").agg(F.count("*").alias("n_rows")), "manifest")
+    # four batches of files of bounded size: datasets begin in one and end in another
+    files = batch_files(manifest.agg(F.sum("n_rows")).first()[0] or 0)
+    placed.select("dataset_id", "pos", "num").repartitionByRange(4 * files, "pos", F.xxhash64("num")).write.parquet(landed)
+    stream = spark.readStream.schema("dataset_id string, pos long, num array<double>").option("maxFilesPerTrigger", files).parquet(landed)
     decisions = scratch(spark, "decisions")
     arrivals.stream_row_hashes(stream, manifest, scratch(spark, "state"), decisions, scratch(spark, "offsets")).awaitTermination()
     return spark.read.parquet(decisions).select("dataset_id", "status", "matched")
