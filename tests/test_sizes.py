@@ -1,4 +1,6 @@
 """Work that no longer meets in one task, or moves wider than it was given."""
+import threading
+
 from pyspark.sql import functions as F
 
 from fleetsieve.functions.sampling import draw_key, sample_n
@@ -50,3 +52,17 @@ def test_a_long_marker_line_is_dealt_in_pieces(spark, tmp_path, monkeypatch):
 def test_files_of_a_batch_follow_the_rows():
     assert flows.batch_files(0) == flows.batch_files(4 * flows.FILE_ROWS) == 1
     assert flows.batch_files(4 * flows.FILE_ROWS + 1) == 2 and flows.batch_files(400 * flows.FILE_ROWS) == 100
+
+
+def test_sources_are_fetched_side_by_side_in_the_registrys_order(spark, make_fleet):
+    both = threading.Barrier(2, timeout=60)
+
+    def source(name):
+        def made(session, root):
+            both.wait()
+            return make_fleet({name: ("regression", [([1.0], [], None, 1.0, None)])}, source=name)
+        return G.Source(None, made)
+
+    got = G.fetch(spark, "none", registry={"b": source("b"), "a": source("a")})
+    assert [r["source"] for r in got.timings.where("error is null").collect()] == ["b", "a"]
+    assert [r["dataset_id"] for r in got.fleet.datasets.orderBy("pos").collect()] == ["b", "a"]
