@@ -1,6 +1,9 @@
 """Ceilings over all rows, a union that lacks no source, sums over equal binned rows, blocks of the signal test."""
+import numpy as np
+import pandas as pd
 import pytest
 
+from fleetsieve.operators import grown as R
 from fleetsieve.operators import signal as G
 from fleetsieve.sources import registry as S
 from fleetsieve.workload import sources as W
@@ -25,3 +28,36 @@ def test_a_union_that_lacks_a_source_is_no_result(spark, make_fleet, tmp_path):
     assert W.every_source(S.fetch(spark, str(tmp_path), registry={"good": good})).samples.count() == 3
     with pytest.raises(RuntimeError, match="bad: "):
         W.every_source(S.fetch(spark, str(tmp_path), registry={"good": good, "bad": bad}))
+
+
+@pytest.mark.parametrize("clf", [True, False])
+def test_equal_binned_rows_are_added_up_before_they_meet_the_trees(clf, monkeypatch):
+    rng = np.random.default_rng(6)
+    full = rng.integers(0, 4, (3000, 3)).astype(np.uint8)
+    xb, kind = R._kinds(full)
+    assert len(xb) == 64 and np.array_equal(xb[kind], full)
+    assert len(R._kinds(rng.integers(0, 32, (300, 4)).astype(np.uint8))[1]) == 0 and len(R._kinds(full.repeat(5, axis=1))[1]) == 0
+    y = rng.integers(0, 3, 3000).astype(float) if clf else rng.normal(size=3000)
+    block = dict(dataset_id="d", fit=0, part=0, trees=3, clf=clf, p=3, k=3, m=2 if clf else 3, block=1, target=y, fold=rng.integers(-1, 3, 3000))
+    model = dict(feat=[1, -1, -1, -1, -1], bin=[1, 0, 0, 0, 0], left=[3, -1, -1, -1, -1], open_from=1)
+    entries, leaf = [], R._leaf
+    monkeypatch.setattr(R, "_leaf", lambda columns, *rest: entries.append(columns.shape[1]) or leaf(columns, *rest))
+    sums = [R._level_sums(next(pd.DataFrame([block | model | {"xb": x.tobytes(), "kind": k.tobytes()}]).itertuples(index=False)))
+            for x, k in ((full, np.empty(0, np.int32)), (xb, kind))]
+    assert np.array_equal(sums[0][0], sums[1][0]) and np.allclose(sums[0][1], sums[1][1], rtol=1e-12, atol=1e-12)
+    assert max(entries[3:]) <= 64 * 3 < 800 < min(entries[:3])
+
+
+def test_votes_of_a_small_forest_are_not_exchanged(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    rows = [("cls", True, i, i % 3, [float(v) for v in rng.normal(size=3)], float(i % 2)) for i in range(200)] + [
+        ("reg", False, i, i % 3, [float(v) for v in rng.normal(size=3)], float(i)) for i in range(200)]
+    blocks = R.blocks(spark.createDataFrame(rows, "dataset_id string, clf boolean, row_id long, fold int, x array<double>, target double"))
+    model = R.grow(blocks, range(3), 23, 3)
+    plain = lambda df: {(r.dataset_id, r.fit, r.row_id): (r.target, r.votes) for r in df.collect()}
+    one = R.predict(blocks, model, 23)
+    assert "FlatMapGroupsInPandas" not in one._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(R, "MOST_NODES", 1)
+    many, one = plain(R.predict(blocks, model, 23)), plain(one)
+    assert one.keys() == many.keys() and len(one) == 400
+    assert all(np.isclose(one[k][0], many[k][0]) and np.allclose(one[k][1], many[k][1]) for k in one)
