@@ -1,8 +1,11 @@
 """Ceilings over all rows, a union that lacks no source, sums over equal binned rows, blocks of the signal test."""
+import hashlib
+
 import numpy as np
 import pandas as pd
 import pytest
 
+from fleetsieve.functions.digests import md5_words
 from fleetsieve.operators import grown as R
 from fleetsieve.operators import signal as G
 from fleetsieve.sources import registry as S
@@ -61,3 +64,35 @@ def test_votes_of_a_small_forest_are_not_exchanged(spark, monkeypatch):
     many, one = plain(R.predict(blocks, model, 23)), plain(one)
     assert one.keys() == many.keys() and len(one) == 400
     assert all(np.isclose(one[k][0], many[k][0]) and np.allclose(one[k][1], many[k][1]) for k in one)
+
+
+def test_digests_of_many_texts_are_those_of_hashlib():
+    heads = [b"", b"7", b"24", b"x" * 40]
+    for tails in ([f"|{7 ** i}".encode() for i in range(20)] + [b"", b"|nan"], [b"y" * 20, b"z"], []):
+        words = md5_words(heads, tails)
+        assert words.shape == (4, len(tails), 4)
+        assert all(tuple(words[g, i]) == tuple(np.frombuffer(hashlib.md5(h + t).digest(), ">u4")) for g, h in enumerate(heads) for i, t in enumerate(tails))
+
+
+def test_shuffles_follow_the_digests_and_keep_the_order_of_equal_ids():
+    ids = [3, 9, 3, 10 ** 17, -4, 0, 9]
+    for p, order in G._orders(ids, 9):
+        if p:
+            key = [hashlib.md5(f"{(p - 1) // 4}|{r}".encode()).digest()[(p - 1) % 4 * 4:][:4] for r in ids]
+            rows = sorted(range(7), key=lambda i: (key[i], i))
+            assert [rows.index(i) for i in range(7)] == list(order)
+    assert p == 9
+
+
+def test_value_sums_of_a_shuffle_are_those_of_its_rows():
+    rng = np.random.default_rng(8)
+    pdf = pd.DataFrame({"dataset_id": "d", "clf": False, "classes": None, "fold": rng.integers(0, 3, 50), "x": list(rng.normal(size=(50, 2))),
+                        "row_id": rng.permutation(50), "scaled": rng.normal(size=50)})
+    found = G._block_sums(5, 3)(pdf)
+    block, x, fold = G._block(pdf)
+    y = block["scaled"].to_numpy()
+    assert list(block["row_id"]) == sorted(pdf["row_id"], key=lambda r: hashlib.md5(b"base|%d" % r).hexdigest())
+    for (p, order), sums in zip(G._orders(block["row_id"], 5), found["sums"]):
+        rows = [[x[own].sum(0), (x[own] ** 2).sum(0), y[order][own] @ x[own], [y[order][own].sum(), (y[order][own] ** 2).sum(), own.sum()]]
+                for own in (fold[order] == f for f in range(3))]
+        assert np.allclose(sums, np.concatenate([v for r in rows for v in r]))
