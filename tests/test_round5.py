@@ -4,10 +4,12 @@ import hashlib
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from fleetsieve.functions.digests import md5_words
 from fleetsieve.operators import grown as R
 from fleetsieve.operators import signal as G
+from fleetsieve.session import CLEAN, written
 from fleetsieve.sources import registry as S
 from fleetsieve.workload import sources as W
 
@@ -96,3 +98,25 @@ def test_value_sums_of_a_shuffle_are_those_of_its_rows():
         rows = [[x[own].sum(0), (x[own] ** 2).sum(0), y[order][own] @ x[own], [y[order][own].sum(), (y[order][own] ** 2).sum(), own.sum()]]
                 for own in (fold[order] == f for f in range(3))]
         assert np.allclose(sums, np.concatenate([v for r in rows for v in r]))
+
+
+def _shuffle_files(spark):
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {n for n in (files.apply(i).getName() for i in range(files.size())) if n.endswith(".data")}
+
+
+def test_shuffle_files_of_a_large_table_go_once_it_is_written(spark):
+    before = _shuffle_files(spark)
+    moved = spark.range(50000).repartition(4, F.col("id") % 7)
+    table = written(moved, "moved", release=True)
+    assert not _shuffle_files(spark) - before and table.count() == 50000
+    assert spark.conf.get(CLEAN) == "false" and moved.count() == moved.count() == 50000
+
+
+def test_the_signal_test_leaves_no_shuffle_files_of_its_passes(spark, make_fleet):
+    rows = [([float(i % 3), float(i * 7919 % 1009)], [], "ab"[i % 2], None, None) for i in range(9000)]
+    prepared = G.prepare_signal(make_fleet({"a": ("classification", rows)}))
+    before = _shuffle_files(spark)
+    assert G.permutation_scores(prepared, 4).count() == 5
+    # what is left is from small tables: no pass over all rows
+    assert len(_shuffle_files(spark) - before) <= 12
