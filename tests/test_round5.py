@@ -10,6 +10,7 @@ from fleetsieve.functions.digests import md5_words
 from fleetsieve.operators import grown as R
 from fleetsieve.operators import signal as G
 from fleetsieve.session import CLEAN, written
+from fleetsieve.sources import matrices as X
 from fleetsieve.sources import registry as S
 from fleetsieve.workload import sources as W
 
@@ -120,3 +121,21 @@ def test_the_signal_test_leaves_no_shuffle_files_of_its_passes(spark, make_fleet
     assert G.permutation_scores(prepared, 4).count() == 5
     # what is left is from small tables: no pass over all rows
     assert len(_shuffle_files(spark) - before) <= 12
+
+
+def test_long_lines_are_read_in_pieces(spark):
+    lines = spark.createDataFrame([("f", "a\tbé\t\td\t"), ("g", "alone"), ("h", "x\ty\tz")], "file string, line string")
+    found = {}
+    for r in X.line_pieces(lines, "\t", 2).orderBy("file", "start").collect():
+        found.setdefault((r["file"], r["first"]), []).append((r["start"], r["part"]))
+    assert found == {("f", "a"): [(0, "a\tbé"), (2, "\td"), (4, "")], ("g", "alone"): [(0, "alone")], ("h", "x"): [(0, "x\ty"), (2, "z")]}
+
+
+def test_feature_major_is_the_same_in_pieces(spark, tmp_path, monkeypatch):
+    (tmp_path / "m.tsv").write_text("id\tdescription\t\"s1\"\ts2\ts3\n\ng1\ttext\t1\tx\t3\n\"g2\"\ttext\t4\t5\n")
+    rows = lambda: sorted((r["feature"], r["sample"], r["value"]) for r in X.feature_major(X.text_lines(spark, str(tmp_path))).fillna(-1.0).collect())
+    whole = rows()
+    assert whole == [("g1", "s1", 1.0), ("g1", "s2", -1.0), ("g1", "s3", 3.0), ("g2", "s1", 4.0), ("g2", "s2", 5.0)]
+    pieces = X.line_pieces
+    monkeypatch.setattr(X, "line_pieces", lambda lines, sep: pieces(lines, sep, 2))
+    assert rows() == whole
